@@ -238,7 +238,7 @@ def page_problems(pages: DataFrame, job: Sequence[str], limit: int) -> DataFrame
     and ``size`` (rows on the page) and ``no_id`` (rows without an id).
     """
     found = pages.groupBy(*job).agg(
-        F.count_distinct("total").alias("_totals"),
+        F.min("total").alias("_least_total"),
         F.max("total").alias("_total"),
         F.sum("size").alias("_rows"),
         F.max("size").alias("_largest"),
@@ -248,7 +248,7 @@ def page_problems(pages: DataFrame, job: Sequence[str], limit: int) -> DataFrame
         F.max_by("size", "page").alias("_last_size"),
     )
     problem = (
-        F.when(F.col("_totals") > 1, "total changed between pages")
+        F.when(F.col("_least_total") != F.col("_total"), "total changed between pages")
         .when(F.col("_largest") > limit, "page exceeds requested limit")
         .when(F.col("_no_id") > 0, "row is missing its id")
         .when(F.col("_empty_at").isNotNull() & (F.col("_rows") < F.col("_total")), "empty page before total was reached")
@@ -349,21 +349,21 @@ def constraint_report(tables: Mapping[str, DataFrame]) -> DataFrame:
     """(table, rule, violations) for every declared constraint of the given tables."""
     parts = []
     for table, df in tables.items():
-        for name, rule in schemas.CHECKS.get(table, []):
-            parts.append((table, f"check {name}", df.filter(~F.expr(rule))))
-        for key in schemas.UNIQUE_KEYS.get(table, []):
-            parts.append((table, f"unique {key.name}", unique_violations(df, key)))
+        checks = schemas.CHECKS.get(table, [])
+        if checks:  # every check of a table in one pass
+            names = [f"check {name}" for name, _ in checks]
+            counts = df.agg(*[F.count_if(~F.expr(e)).alias(n) for n, (_, e) in zip(names, checks)])
+            parts.append((table, counts.unpivot([], names, "rule", "violations")))
+        broken = [(f"unique {k.name}", unique_violations(df, k)) for k in schemas.UNIQUE_KEYS.get(table, [])]
         for column, parent, pk in schemas.FOREIGN_KEYS.get(table, []):
             if parent in tables:
                 orphans = foreign_key_violations(df, column, tables[parent], pk)
-                parts.append((table, f"foreign key {column}", orphans))
-    counted = [
-        v.agg(F.count(F.lit(1)).alias("violations")).select(
-            F.lit(table).alias("table"), F.lit(rule).alias("rule"), "violations"
-        )
-        for table, rule, v in parts
-    ]
-    return reduce(DataFrame.unionByName, counted)
+                broken.append((f"foreign key {column}", orphans))
+        for rule, rows in broken:
+            counted = rows.agg(F.count(F.lit(1)).alias("violations"))
+            parts.append((table, counted.select(F.lit(rule).alias("rule"), "violations")))
+    named = [p.select(F.lit(t).alias("table"), "rule", "violations") for t, p in parts]
+    return reduce(DataFrame.unionByName, named)
 
 
 # --- frames --------------------------------------------------------------------------

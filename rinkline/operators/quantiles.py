@@ -22,16 +22,17 @@ def group_quantiles(
     columns: Sequence[str],
     p: float,
     direct_rows: int = DIRECT_ROWS,
+    rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated ``p`` quantile of each column per group, nulls skipped.
 
     ``df`` must be a stored frame (a table or ``staged``), because the large
-    path reads it twice. Its row count picks the path: below ``direct_rows``
-    the built-in ``percentile``; beyond it, a mergeable sketch brackets the
+    path reads it twice. Its row count (``rows`` if known, as an upper bound)
+    picks the path: up to ``direct_rows`` the built-in ``percentile``; beyond it, a mergeable sketch brackets the
     wanted rank, one aggregate counts what lies under the bracket and the few
     values inside it, and the answer is picked by exact rank.
     """
-    if df.count() <= direct_rows:
+    if (df.count() if rows is None else rows) <= direct_rows:
         return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(p)).alias(c) for c in columns])
     return bracketed_quantiles(df, keys, columns, p)
 
