@@ -41,21 +41,38 @@ def bracketed_quantiles(
     df: DataFrame, keys: Sequence[str], columns: Sequence[str], p: float, accuracy: int = ACCURACY
 ) -> DataFrame:
     """The large path of ``group_quantiles``; exact, or it raises."""
-    margin = 3.0 / accuracy
-    ends = F.array(F.lit(max(p - margin, 0.0)), F.lit(min(p + margin, 1.0)))
+    # a bracket must hold a few ranks on either side, so small groups take a wide
+    # one and groups of a handful of rows (no margin fits) take every value
+    margins = [3.0 / accuracy, 0.01, 0.1]
+    lows = [max(p - m, 0.0) for m in margins]
+    highs = [min(p + m, 1.0) for m in margins]
+    points = F.array(*[F.lit(x) for x in lows + highs])
     sketch = df.groupBy(*keys).agg(
-        *[F.percentile_approx(c, ends, accuracy).alias(c) for c in columns]
+        *[
+            F.struct(
+                F.count(c).alias("n"), F.percentile_approx(c, points, accuracy).alias("at")
+            ).alias(c)
+            for c in columns
+        ]
     )
 
     def tall(frame: DataFrame) -> DataFrame:
         cells = [F.struct(F.lit(c).alias("_m"), F.col(c).alias("_v")) for c in columns]
         return frame.select(*keys, F.inline(F.array(*cells)))
 
+    def end(first: int, open_at: list[bool]) -> Column:
+        """Bracket end by group size; an end at the edge of the range stays open."""
+        picked = F.lit(None).cast("double")
+        for i in reversed(range(len(margins))):
+            value = F.lit(None) if open_at[i] else F.col("_v.at")[first + i]
+            picked = F.when(F.col("_v.n") * margins[i] >= 3, value.cast("double")).otherwise(picked)
+        return picked
+
     brackets = tall(sketch).select(
         *keys,
         "_m",
-        (F.lit(None) if p <= margin else F.col("_v")[0]).cast("double").alias("_low"),
-        (F.lit(None) if p >= 1 - margin else F.col("_v")[1]).cast("double").alias("_high"),
+        end(0, [x <= 0.0 for x in lows]).alias("_low"),
+        end(len(margins), [x >= 1.0 for x in highs]).alias("_high"),
     )
     value = F.col("_v")
     side = F.when(value < F.col("_low"), -1).when(value > F.col("_high"), 1).otherwise(0)

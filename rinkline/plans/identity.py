@@ -78,21 +78,20 @@ def upsert_players(
     source_id: int,
     next_id: int,
     sister: int | None = None,
-    refresh: bool = True,
 ) -> Resolved:
     """Find by (source, external id), else create.
 
     Stored values are filled from the incoming profile (new over old where
-    new is known) when ``refresh``; new players without a usable name part
-    get 'Unknown'. With a ``sister`` source its ids count as found, and are
-    linked to this source as well.
+    new is known); new players without a usable name part get 'Unknown'.
+    With a ``sister`` source its ids count as found too: every incoming id is
+    then linked to this source, and found players keep their profile.
     """
     rows = _named(incoming.withColumn("source_id", F.lit(source_id).cast("bigint")))
     found = rows.join(bridged(bridge, source_id, sister), "external_id", "left")
     known = found.filter("player_id is not null")
     fresh = number_rows(found.filter("player_id is null").drop("player_id"), "player_id", next_id, ["external_id"])
     created = fresh.fillna("Unknown", ["first_name", "last_name"])
-    keep = "new_or_old" if refresh else "old"
+    keep = "new_or_old" if sister is None else "old"
     one = first_per_key(known, ["player_id"], [F.col("external_id")])
     profiles = _profile_rows(one).unionByName(_profile_rows(created))
     plan = merge_plan(players, profiles, ["id"], {c: keep for c in _PROFILE})

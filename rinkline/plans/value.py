@@ -119,30 +119,32 @@ def replacement_baseline(
     return thresholds, baselines
 
 
-def read_eligible(
-    basic: DataFrame, advanced: DataFrame, players: DataFrame, min_games: int = MINIMUM_GAMES
-) -> DataFrame:
+def skater_usage(tables: Mapping[str, DataFrame]) -> DataFrame:
+    """Games, ice time and rate per player-season with both kinds of line."""
+    games = skater_lines(tables["skater_season_stats"]).select(
+        *PLAYER_SEASON, F.col("games_played").alias("skater_games")
+    )
+    advanced = advanced_lines(tables["skater_advanced_season_stats"])
+    return games.join(advanced, PLAYER_SEASON)
+
+
+def read_eligible(lines: DataFrame, players: DataFrame, min_games: int = MINIMUM_GAMES) -> DataFrame:
     """Skater-seasons that set the replacement level on the read path.
 
-    ``basic`` and ``advanced`` are season lines. A player without a position
-    is left out of the pool (although the value join treats it as a forward).
+    ``lines`` has skater_games, ice_time_seconds and game_score_per_60. A
+    player without a position is left out of the pool (although the value
+    join treats it as a forward).
     """
     skaters = players.filter(F.col("primary_position") != "G").select(
         F.col("id").alias("player_id"),
         read_position_group(F.col("primary_position")).alias("position_group"),
     )
-    games = basic.select(*PLAYER_SEASON, "games_played").filter(F.col("games_played") >= min_games)
-    return (
-        advanced.filter(F.col("ice_time_seconds") > 0)
-        .select(*PLAYER_SEASON, "ice_time_seconds", "game_score_per_60")
-        .join(games, PLAYER_SEASON)
-        .join(skaters, "player_id")
-        .select(
-            *PLAYER_SEASON,
-            "position_group",
-            (F.col("ice_time_seconds") / F.col("games_played")).alias("toi_per_game"),
-            "game_score_per_60",
-        )
+    used = lines.filter((F.col("ice_time_seconds") > 0) & (F.col("skater_games") >= min_games))
+    return used.join(skaters, "player_id").select(
+        *PLAYER_SEASON,
+        "position_group",
+        (F.col("ice_time_seconds") / F.col("skater_games")).alias("toi_per_game"),
+        "game_score_per_60",
     )
 
 
@@ -169,7 +171,9 @@ def player_season_summary(
     With a season every player gets a row for it, data or not; without one,
     every player-season that has any data gets its row. All parts are
     aggregated to the same key first, stacked and folded by one aggregate, so
-    no part is joined to another through a shuffle of its own.
+    no part is joined to another through a shuffle of its own. The folded
+    lines are stored once; the replacement level and the final projection
+    both read them.
     """
     t = dict(tables)
     if season is not None:
@@ -184,16 +188,14 @@ def player_season_summary(
         t["predictions"] = t["predictions"].filter(F.col("target_season") == season + 1)
     players, teams = t["players"], t["teams"]
     basic = skater_lines(t["skater_season_stats"])
-    advanced = advanced_lines(t["skater_advanced_season_stats"])
     goalies = goalie_games(t["goalie_season_stats"]).withColumnRenamed("games_played", "goalie_games")
-    baselines = read_replacement(read_eligible(basic, advanced, players))
     projected = projections(t["predictions"], t["model_versions"], payload_key)
     parts = [
         season_team(t["player_team_stints"], teams),
-        basic,
-        advanced,
+        basic.withColumnRenamed("games_played", "skater_games"),
+        advanced_lines(t["skater_advanced_season_stats"]),
         goalies,
-        projected.withColumn("_projected", F.lit(True)),
+        projected.withColumn("has_projection", F.lit(True)),
         cap_hits(t["contracts"], t["contract_seasons"]),
     ]
     if season is not None:
@@ -201,8 +203,9 @@ def player_season_summary(
             F.col("id").alias("player_id"), F.lit(season).alias("season_start_year")
         )
         parts.append(everyone)
-    folded = _fold(parts, PLAYER_SEASON)
-    version = F.broadcast(active_model(t["model_versions"])).select("version")
+    folded = staged(_fold(parts, PLAYER_SEASON), "lines")
+    baselines = read_replacement(read_eligible(folded, players))
+    version = active_model(t["model_versions"]).select("version")
     club = teams.select(
         F.col("id").alias("team_id"),
         "nhl_team_id",
@@ -215,14 +218,14 @@ def player_season_summary(
         "position_group", read_position_group(F.col("primary_position"))
     )
     over = F.col("game_score_per_60") - F.col("replacement_gs60")
-    model = F.when(F.col("_projected"), version.scalar()).when(
+    model = F.when(F.col("has_projection"), version.scalar()).when(
         F.col("game_score_per_60").isNotNull(),
         F.coalesce(version.scalar(), F.lit(FALLBACK_VERSION)),
     )
     level = small_side(baselines.drop("toi_threshold"))
     return (
         folded.join(who, "player_id")
-        .join(club, "team_id", "left")
+        .join(small_side(club), "team_id", "left")
         .join(level, ["season_start_year", "position_group"], "left")
         .select(
             F.col("player_id").alias("id"),
@@ -243,8 +246,7 @@ def player_season_summary(
             "team_city",
             "team_active",
             F.col("season_start_year").alias("season"),
-            F.coalesce("games_played", "goalie_games").alias("games_played"),
-            F.col("games_played").alias("skater_games"),
+            F.coalesce("skater_games", "goalie_games").alias("games_played"),
             "goals",
             "assists",
             "points",
@@ -282,4 +284,4 @@ def _fold(parts: list[DataFrame], keys: list[str]) -> DataFrame:
     for part in parts[1:]:
         stacked = stacked.unionByName(part, allowMissingColumns=True)
     values = [c for c in stacked.columns if c not in keys]
-    return stacked.groupBy(*keys).agg(*[F.max(c).alias(c) for c in values])
+    return stacked.groupBy(*keys).agg(*[F.expr(f"max({c}) as {c}") for c in values])

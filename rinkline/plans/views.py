@@ -398,9 +398,10 @@ def roster_counts(players: DataFrame, stints: DataFrame) -> DataFrame:
 def team_details(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Teams with their roster counts (zeros for a team without players)."""
     counts = roster_counts(tables["players"], tables["player_team_stints"])
+    columns = ["id", "nhl_team_id", "abbreviation", "name", "city", F.col("active").alias("is_active")]
     return (
         tables["teams"]
-        .select("id", "nhl_team_id", "abbreviation", "name", "city", "active")
+        .select(*columns)
         .join(counts.withColumnRenamed("team_id", "id"), "id", "left")
         .fillna(0, ROSTER_STATUSES)
     )

@@ -9,7 +9,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 # --- fixed values: table columns (the public data model) -------------------
@@ -437,11 +436,9 @@ def empty(spark: SparkSession, table: str) -> DataFrame:
 def conform(df: DataFrame, table: str) -> DataFrame:
     """Project onto a table's columns and types; absent columns become null."""
     have = set(df.columns)
-    return df.select(
+    return df.selectExpr(
         *[
-            (F.col(f.name) if f.name in have else F.lit(None))
-            .cast(f.dataType)
-            .alias(f.name)
+            f"cast({f.name if f.name in have else 'null'} as {f.dataType.simpleString()}) as {f.name}"
             for f in struct(table).fields
         ]
     )
