@@ -383,7 +383,7 @@ class League:
             )
         )
         return self.raw("customer").select(
-            "c_custkey", "c_name", F.explode(sources).cast("bigint").alias("source_id")
+            "c_custkey", "c_name", F.explode(sources.cast("array<bigint>")).alias("source_id")
         ).select(
             (F.col("c_custkey") * 10 + F.col("source_id")).alias("id"),
             F.col("c_custkey").alias("player_id"),
