@@ -28,8 +28,9 @@ SEASON_TABLES = [
 
 
 def read_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A stored table with its declared schema."""
-    return spark.read.schema(schemas.struct(table)).parquet(f"{folder}/{table}")
+    """A stored table with its declared schema and column order."""
+    columns = schemas.struct(table)
+    return spark.read.schema(columns).parquet(f"{folder}/{table}").select(*columns.names)
 
 
 def read_tables(spark: SparkSession, folder: str, *tables: str) -> dict[str, DataFrame]:
@@ -82,16 +83,16 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
 def read_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """A CSV snapshot as text columns plus ``_ord``, its row order in the file.
 
-    Every value stays text (an empty cell is ''), short rows are padded with
-    nulls and rows with too many values are refused.
+    Every value stays text (an empty cell is null), short rows are padded
+    with nulls and rows with too many values are refused.
     """
     names = csv_header(spark, path)
-    columns = StructType([StructField(n, StringType()) for n in [*names, "_surplus"]])
+    columns = StructType([StructField(n, StringType()) for n in [*names, "_uneven"]])
     rows = (
         spark.read.schema(columns)
         .option("header", True)
-        .option("nullValue", "\u0000")
         .option("escape", '"')
+        .option("columnNameOfCorruptRecord", "_uneven")  # rows with another number of values
         .csv(path)
     )
     order = F.struct(
@@ -100,9 +101,10 @@ def read_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     )
     ordered = rows.select("*", order.alias("_ord"))
     if check:
-        surplus = ordered.filter(F.col("_surplus").isNotNull()).select("_surplus")
+        cells = F.split(F.regexp_replace("_uneven", '"([^"]|"")*"', "q"), ",")
+        surplus = rows.filter(F.size(cells) > len(names)).select("_uneven", *names)
         assert_none(surplus, "malformed CSV row has too many values")
-    return ordered.drop("_surplus")
+    return ordered.drop("_uneven")
 
 
 def stack_feeds(*feeds: DataFrame) -> DataFrame:
