@@ -46,6 +46,7 @@ class League:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
         self._plans: dict[str, DataFrame] = {}
+        self._stored = False
 
     def raw(self, table: str) -> DataFrame:
         return self._once(
@@ -59,7 +60,9 @@ class League:
         }
 
     def with_stored_facts(self) -> League:
-        self._plans["team_facts"] = staged(self.team_facts(), "facts")
+        if not self._stored:
+            self._plans["team_facts"] = staged(self.team_facts(), "facts")
+            self._stored = True
         return self
 
     def _once(self, name: str, build) -> DataFrame:
@@ -158,7 +161,7 @@ class League:
             F.col("c_acctbal").alias("balance"),
             position(F.col("c_mktsegment"), F.col("c_acctbal")).alias("position"),
         )
-        facts = self.team_facts()
+        facts = self.with_stored_facts().team_facts()  # read by both branches below
         totals = (
             facts.join(who.filter(F.col("balance") > TOTAL_BALANCE).select("player_id"), "player_id", "left_semi")
             .groupBy("player_id", "season_start_year", "game_type")
@@ -173,15 +176,16 @@ class League:
 
     def skater_season_stats(self) -> DataFrame:
         facts = self.scope_facts().filter(is_skater())
-        first = facts.withColumn("source_id", F.lit(1)).withColumn("updated_at", F.col("last_ship"))
         later = F.when(F.col("r") > F.col("a"), F.expr("interval 1 day")).otherwise(F.expr("interval -1 day"))
-        second = (
-            facts.filter((F.col("stat_scope") == "TOTAL") & (F.col("balance") > TWO_TOTALS_BALANCE))
-            .withColumn("source_id", F.lit(2))
-            .withColumn("n", F.col("n") + 1)
-            .withColumn("updated_at", F.col("last_ship") + later)
+        version = lambda source, goals, at: F.struct(F.lit(source).alias("source_id"), goals.alias("n"), at.alias("updated_at"))
+        two = (F.col("stat_scope") == "TOTAL") & (F.col("balance") > TWO_TOTALS_BALANCE)
+        versions = F.array_compact(
+            F.array(
+                version(1, F.col("n"), F.col("last_ship")),
+                F.when(two, version(2, F.col("n") + 1, F.col("last_ship") + later)),
+            )
         )
-        return first.unionByName(second).select(
+        return facts.select(*[c for c in facts.columns if c != "n"], F.inline(versions)).select(
             *grain(),
             F.col("lines").alias("games_played"),
             F.col("n").alias("goals"),

@@ -166,7 +166,7 @@ def contract_text_rules(lg):
     )
 
 
-@query("""SELECT c.id, c.average_value_cents AS average, cs.total_cash_cents AS cash, round(c.total_value_cents / 100.0::DOUBLE, 6) AS dollars, round(round(cs.cap_percentage, 8), 6) AS share,
+@query("""SELECT c.id, c.average_value_cents AS average, cs.total_cash_cents AS cash, round(c.total_value_cents / 100.0::DOUBLE, 6) AS dollars, CAST(round(cs.cap_percentage * 100000000) AS BIGINT) AS share,
     CASE WHEN s < 2013 THEN 0 WHEN s < 2015 THEN 92500000 WHEN s < 2017 THEN 95000000 WHEN s < 2019 THEN 102500000 WHEN s < 2021 THEN 107500000 WHEN s < 2023 THEN 112500000 WHEN s < 2026 THEN 115000000 ELSE 122500000 END::BIGINT AS relief
     FROM (SELECT *, start_season + o AS s FROM contracts, (VALUES (12), (17), (22), (28)) v(o)) c JOIN contract_seasons cs ON cs.contract_id = c.id AND cs.season_start_year = c.start_season""")
 def contract_money_rules(lg):
@@ -180,7 +180,7 @@ def contract_money_rules(lg):
         N.average_cents(F.col("total_value_cents"), F.col("term_years")).alias("average"),
         N.cash_cents(F.col("base_salary_cents"), F.col("signing_bonus_cents")).alias("cash"),
         N.cents_to_dollars(F.col("total_value_cents")).alias("dollars"),
-        N.cap_share(F.col("cap_hit_cents"), F.col("salary_cap_cents")).cast("double").alias("share"),
+        (N.cap_share(F.col("cap_hit_cents"), F.col("salary_cap_cents")) * 100_000_000).cast("bigint").alias("share"),
         N.buried_relief_cents(F.col("s")).alias("relief"),
     )
 
