@@ -16,7 +16,8 @@ SETTINGS = {
     "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-_local_folders: dict[str, str] = {}
+_named: dict[str, str] = {}
+_written: dict[str, list[str]] = {}
 
 
 def build(app: str = "rinkline", master: str | None = None, **conf: str) -> SparkSession:
@@ -32,16 +33,33 @@ def build(app: str = "rinkline", master: str | None = None, **conf: str) -> Spar
 def shared_folder(spark: SparkSession) -> str:
     """Folder every executor can reach, as named by ``spark.checkpoint.dir``.
 
-    Only when the session names none (tests on one machine) is a temporary
-    folder made.
+    Raises when none is named: a folder of one machine would lose the files
+    that other executors write.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
-    app = spark.sparkContext.applicationId
-    if app not in _local_folders:
-        _local_folders[app] = tempfile.mkdtemp(prefix="rinkline-")
-    return _local_folders[app]
+    named = spark.conf.get("spark.checkpoint.dir", None) or _named.get(spark.sparkContext.applicationId)
+    if not named:
+        raise ValueError("name a folder that all executors share in spark.checkpoint.dir")
+    return named.rstrip("/")
+
+
+def on_one_machine(spark: SparkSession) -> SparkSession:
+    """Name a temporary folder for a session that runs in one process and names none.
+
+    Driver and executors are the same process there, so the folder is shared.
+    A cluster session is left as it is and must name its own folder.
+    """
+    sc = spark.sparkContext
+    single = sc.master == "local" or sc.master.startswith("local[")
+    if single and not spark.conf.get("spark.checkpoint.dir", None) and sc.applicationId not in _named:
+        _named[sc.applicationId] = tempfile.mkdtemp(prefix="rinkline-")
+    return spark
+
+
+def new_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the shared folder, remembered for ``clear_staged``."""
+    path = f"{shared_folder(spark)}/staged/{name}-{uuid4().hex}"
+    _written.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def staged(df: DataFrame, name: str) -> DataFrame:
@@ -52,6 +70,15 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     passes prune columns) and has a size the planner knows exactly.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged/{name}-{uuid4().hex}"
+    path = new_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove what this application staged; call it when no staged frame is needed any more."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    for path in _written.pop(spark.sparkContext.applicationId, []):
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(conf).delete(target, True)
