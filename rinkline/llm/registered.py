@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkline.llm import fixity, language, licences, mixing, token_files
+from rinkline.llm import fixity, jaccard_join, language, licences, mixing, token_files
 from rinkline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -66,6 +66,12 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.repeating_weights).select("doc_id", "size", "source_size", "target", "taken", "repetitions")
 
 
+@query()
+def op6_count_vector_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Every document's number of 4-word shingles and its component of links at 85 percent."""
+    return jaccard_join.similar_groups(table(spark, folder, "documents").select("doc_id", "text"), k=4, num=85, den=100)
+
+
 @query()
 def op7_token_files(spark: SparkSession, folder: str) -> DataFrame:
     """Token ids of every document, written as dictionary-compressed files and read back from them."""
