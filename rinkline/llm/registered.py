@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkline.llm import fixity, jaccard_join, language, licences, mixing, token_files
+from rinkline.llm import decontaminate, fixity, jaccard_join, language, licences, mixing, passages, token_files
 from rinkline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,12 @@ def query(sql: str | None = None):
     return add
 
 
+@query()
+def op1_collinear_passages(spark: SparkSession, folder: str) -> DataFrame:
+    """Passages of at least 50 words that documents share, found by chains of seeds."""
+    return passages.repeated_passages(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 #: The second replica of the pages: a flipped first byte in some bodies, some archives cut off at the end.
 _HURT = "page_id % 61 = 5"
 _CUT = "page_id % 1000 >= 990 AND page_id % 7000 < 1000"
@@ -59,6 +65,12 @@ def op2_merkle_fixity(spark: SparkSession, folder: str) -> DataFrame:
     return fixity.audit(fixity.leaves(one), fixity.leaves(two)).withColumnRenamed("record_id", "page_id")
 
 
+@query()
+def op3_simhash_windows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents that hold benchmark items, with the most similar window of each."""
+    return decontaminate.contamination(table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "benchmark"))
+
+
 @query()
 def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     """How many words of every document the mix takes (weights 5, 2, 1 in turn, three epochs at most)."""
