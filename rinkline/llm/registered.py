@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkline.llm import decontaminate, fixity, jaccard_join, language, licences, mixing, passages, token_files
+from rinkline.llm import decontaminate, fixity, jaccard_join, language, licences, mixing, neighbours, passages, token_files
 from rinkline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +119,10 @@ def op9_language_codes(spark: SparkSession, folder: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
     model = language.train(docs.where(~held_out).select("text", "lang"))
     return language.identify(docs.select("doc_id", held_out.alias("held_out"), "text"), model).select("doc_id", "held_out", "lang_pred", "score", "ambiguous")
+
+
+@query()
+def op10_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    """The 20 nearest other vectors of every vector whose id is divisible by 20."""
+    vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
