@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rinkline.llm import decontaminate, fixity, jaccard_join, language, licences, mixing, neighbours, passages, token_files
+from rinkline.llm import decontaminate, fixity, identifiers, jaccard_join, language, licences, mixing, neighbours, passages, token_files
 from rinkline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,6 +78,12 @@ def op4_source_mix(spark: SparkSession, folder: str) -> DataFrame:
     return mixing.mix_sources(docs, mixing.repeating_weights).select("doc_id", "size", "source_size", "target", "taken", "repetitions")
 
 
+@query()
+def op5_bootstrapped_identifiers(spark: SparkSession, folder: str) -> DataFrame:
+    """Personal identifiers of every document: the base's counts and digest, and all spans with those learned from contexts."""
+    return identifiers.find(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query()
 def op6_count_vector_join(spark: SparkSession, folder: str) -> DataFrame:
     """Every document's number of 4-word shingles and its component of links at 85 percent."""
