@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from rinkline.llm import decontaminate, fixity, identifiers, jaccard_join, language, licences, mixing, neighbours, passages, token_files
 from rinkline.llm.common import table
 
@@ -132,3 +133,9 @@ def op10_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     """The 20 nearest other vectors of every vector whose id is divisible by 20."""
     vectors = table(spark, folder, "embeddings").select("vec_id", "embedding")
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
+
+
+@query(corpus_pipeline.ORACLE_SQL)
+def pipeline(spark: SparkSession, folder: str) -> DataFrame:
+    """Language ID, near-copy removal, decontamination, mixing and token files over all documents."""
+    return corpus_pipeline.run(spark, folder)
