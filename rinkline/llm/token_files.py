@@ -21,6 +21,7 @@ enter the manifest, so repeated or lost tasks leave no trace in it.
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -44,19 +45,55 @@ END_ID = 1
 SAMPLE_TEXTS, SAMPLE_CHARS = 2000, 4000
 DICTIONARY_BYTES = 64 << 10
 LEVEL = 3
-#: Words whose ids a task keeps.
-KEPT_WORDS = 400_000
+#: Words whose ids a worker process keeps, about.
+KEPT_WORDS = 200_000
 _WORD = re.compile("[^\x20\x09-\x0d]+")
 _ENTRY = np.dtype([("doc_id", "<i8"), ("offset", "<u8"), ("before", "<u8"), ("size", "<u4"), ("tokens", "<u4")])
 MANIFEST = "first_key string, last_key string, file string, documents long, tokens long, width int, dictionary_sha256 string"
 
 
+# The parts of a tokenizer whose words can be cut without the library (its BPE still encodes them).
+_KNOWN_NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+_KNOWN_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+_KNOWN_CHARS = [chr(c) for c in (*range(0x21, 0x7F), *range(0xC0, 0xD7), *range(0xD8, 0xF7), *range(0xF8, 0x100))]
+_CUT = re.compile("[a-zß-öø-ÿ]+|[0-9]|'s|'t|'re|'ve|'m|'ll|'d|[^a-zß-öø-ÿ0-9\x20\x09-\x0d]+")
+
+
+def _byte_chars() -> list[str]:
+    """The character that stands for each byte in a byte-level BPE: printable ones for themselves, others from 256 on in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(rest)) for b in range(256)]
+
+
+class Kept(dict):
+    """Results of a function by word: those of late are kept, those not used since two times ``KEPT_WORDS`` others are not."""
+
+    def __init__(self, fn):
+        super().__init__()
+        self.fn, self.old = fn, {}
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.get(word)
+        if found is None:
+            found = self.fn(word)
+        self[word] = found
+        return found
+
+    def age(self) -> None:
+        if len(self) > KEPT_WORDS:
+            self.old = dict(self)
+            self.clear()
+
+
 class WordEncoder:
-    """Ids of whole texts from a tokenizer that never joins text across ASCII white space.
+    """Ids of whole texts by the tokenizers library; those of its words are kept.
 
-    Each distinct word is encoded once by the library and kept; a text's ids are
-    those of its words. ``joins_nothing`` says whether a tokenizer allows that;
-    for others every text is encoded as it is.
+    That needs a tokenizer that parts text at white space and leaves no trace of
+    it (``by_word``); for others every text is encoded as it is. With the known
+    normalizer and splitter, texts of ASCII and precomposed Latin letters are cut
+    here and only their pieces go to the library's BPE model, which spares most
+    of its overhead a call; words of other texts take the library's whole path.
     """
 
     def __init__(self, path: str):
@@ -65,39 +102,54 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
-        self.by_word = joins_nothing(self.tokenizer)
-        self.kept: dict[str, bytes] = {}
+        config = json.loads(self.tokenizer.to_str())
+        steps_ = (config.get("pre_tokenizer") or {}).get("pretokenizers") or [{}, {}]
+        bare = not (config.get("post_processor") or config.get("truncation") or config.get("padding"))
+        splits = steps_[0].get("type") == "Split" and steps_[0].get("invert") and steps_[0].get("behavior") == "Removed"
+        self.by_word = bool(bare and splits and self._parts_at_space())
+        known = self.by_word and (config.get("normalizer") or {}).get("normalizers") == _KNOWN_NORMALIZER and steps_[0].get("pattern") == {"Regex": _KNOWN_SPLIT}
+        known = known and steps_[1].get("type") == "ByteLevel" and not steps_[1].get("add_prefix_space") and not steps_[1].get("use_regex") and not config["model"].get("ignore_merges")
+        firsts = {t["content"][:1] for t in config["added_tokens"]}
+        chars = [re.escape(c) for c in _KNOWN_CHARS if c not in firsts]
+        self.simple = re.compile(f"[\x20\x09-\x0d{''.join(chars)}]*").fullmatch if known else None
+        self.model, self.bytes_as = self.tokenizer.model, _byte_chars()
+        self.kept, self.pieces = Kept(self._word), Kept(self._piece)
+
+    def _parts_at_space(self) -> bool:
+        probe = "a \tb\n\x0b\x0c\rc 's 12 .,' it's"
+        whole = self.tokenizer.encode(probe, add_special_tokens=False).ids
+        return whole == [i for w in _WORD.findall(probe) for i in self.tokenizer.encode(w, add_special_tokens=False).ids]
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.asarray(e.ids, dtype=self.kind).tobytes() for e in found]
 
+    def _piece(self, piece: str) -> bytes:
+        mapped = piece if piece.isascii() else "".join([self.bytes_as[b] for b in piece.encode()])
+        return b"".join([t.id.to_bytes(self.width, "little") for t in self.model.tokenize(mapped)])
+
+    def _word(self, word: str) -> bytes:
+        return np.asarray(self.tokenizer.encode(word, add_special_tokens=False).ids, dtype=self.kind).tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Serialised ids of each text."""
         if not self.by_word:
             return [x for i in range(0, len(texts), 16) for x in self._ids(texts[i : i + 16])]
-        if len(self.kept) > KEPT_WORDS:
-            self.kept.clear()
-        parts = [_WORD.findall(t) for t in texts]
-        new = list({w for p in parts for w in p if w not in self.kept})
-        for i in range(0, len(new), 4096):
-            self.kept.update(zip(new[i : i + 4096], self._ids(new[i : i + 4096]), strict=True))
-        get = self.kept.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-
-def joins_nothing(tokenizer) -> bool:
-    """True if white space always parts tokens and leaves none: so words can be encoded apart."""
-    if tokenizer.post_processor is not None or tokenizer.truncation or tokenizer.padding:
-        return False
-    import json
-
-    split = (json.loads(tokenizer.to_str()).get("pre_tokenizer") or {}).get("pretokenizers", [{}])[0]
-    if split.get("type") != "Split" or not split.get("invert") or split.get("behavior") != "Removed":
-        return False
-    probe = "a \tb\n\x0b\x0c\rc 's 12 .,' it's"
-    whole = tokenizer.encode(probe, add_special_tokens=False).ids
-    return whole == [i for w in _WORD.findall(probe) for i in tokenizer.encode(w, add_special_tokens=False).ids]
+        self.kept.age()
+        self.pieces.age()
+        word, piece, simple = self.kept.__getitem__, self.pieces.__getitem__, self.simple or (lambda t: False)
+        return [b"".join(map(piece, _CUT.findall(t.lower()))) if simple(t) else b"".join(map(word, _WORD.findall(t))) for t in texts]
+
+
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder_of(path: str) -> WordEncoder:
+    """The worker process's encoder, which keeps its words from task to task."""
+    if path not in _encoders:
+        _encoders.clear()
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
 
 
 def _dictionary(docs: DataFrame, tokenizer_path: str) -> tuple[bytes, str]:
@@ -109,7 +161,7 @@ def _dictionary(docs: DataFrame, tokenizer_path: str) -> tuple[bytes, str]:
     picked = short.where(F.pmod(F.xxhash64("text"), F.lit(1 << 32)) < cut)
 
     def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, samples = WordEncoder(tokenizer_path), []
+        encoder, samples = encoder_of(tokenizer_path), []
         for batch in batches:
             samples += encoder.encode(texts_of(batch).to_pylist())
         try:
@@ -147,7 +199,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = END_ID)
         for whole in batches:
             for batch in steps(whole):
                 if out is None:
-                    encoder = WordEncoder(tokenizer_path)
+                    encoder = encoder_of(tokenizer_path)
                     squeeze = _compressor(data, zstandard.ZstdCompressor, level=LEVEL)
                     store, folder = fs.FileSystem.from_uri(f"{path}/shards") if "://" in path else (fs.LocalFileSystem(), f"{path.removeprefix('file:')}/shards")
                     store.create_dir(folder, recursive=True)
