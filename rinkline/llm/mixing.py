@@ -59,7 +59,8 @@ def mix_sources(docs: DataFrame, weights, budget: Column | None = None, most_epo
     rows with a ``weight``. A source's target is met by whole repetitions of all
     its documents and, for the fraction that is left, once more a seeded part of
     them: hash ranges are taken whole up to the cut, and about ``FILLERS``
-    documents kept apart are added in hash order, each if it still fits.
+    documents kept apart are added in hash order, each if it still fits, and one
+    more if that comes nearer.
 
     No document is taken more than ``most_epochs`` times. Equal rows (same
     doc_id, source and text) share one decision. Null and empty texts have size
@@ -97,8 +98,11 @@ def mix_sources(docs: DataFrame, weights, budget: Column | None = None, most_epo
         F.struct((F.col("_rest") - F.coalesce(F.col("_got"), F.lit(0))).cast("double").alias("left"), F.array().cast("array<string>").alias("keys")),
         lambda a, x: F.when((x["size"] > 0) & (x["size"] <= a["left"]), F.struct((a["left"] - x["size"]).cast("double").alias("left"), F.array_append(a["keys"], x["_key"]).alias("keys"))).otherwise(a),
     )
-    chosen = F.coalesce(F.when(F.col("_list").isNotNull(), fill["keys"]), F.array().cast("array<string>"))
-    plan = targets.join(cuts, "_no", "left").join(fillers, "_no", "left")
+    # What is left then is less than any other filler: one more is added if that comes nearer.
+    spare = F.filter("_list", lambda x: (x["size"] > 0) & (x["size"] < 2 * F.col("_fill.left")) & ~F.array_contains("_fill.keys", x["_key"]))
+    last = F.array_min(F.transform(spare, lambda x: F.struct(F.abs(x["size"] - F.col("_fill.left")).alias("off"), x["_key"].alias("key"))))["key"]
+    chosen = F.coalesce(F.when(last.isNotNull(), F.array_append("_fill.keys", last)).otherwise(F.col("_fill.keys")), F.array().cast("array<string>"))
+    plan = targets.join(cuts, "_no", "left").join(fillers, "_no", "left").withColumn("_fill", F.when(F.col("_list").isNotNull(), fill))
     plan = staged(plan.select("_source", "source_size", "target", "_whole", "_chance", F.coalesce("_cut", F.lit(-1)).alias("_cut"), chosen.alias("_keys")), "mix-plan")
     if plan.count() <= FEW_SOURCES:
         plan = F.broadcast(plan)

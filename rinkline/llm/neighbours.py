@@ -93,8 +93,8 @@ def page_of(curves: Curves, keys: np.ndarray) -> np.ndarray:
     return np.stack([np.searchsorted(limit, k, side="right") for limit, k in zip(curves.limits, keys, strict=True)])
 
 
-def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v): vectors that take part, as doubles.
+def usable(vectors: DataFrame, length: int | None = None) -> DataFrame:
+    """(vec_id, v): vectors that take part, as doubles; of the given length, if one is given.
 
     Left out: null ids; null or empty vectors; vectors with a null, NaN or
     infinite component or only zeros; vectors of another length than the most
@@ -104,6 +104,8 @@ def usable(vectors: DataFrame) -> DataFrame:
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where("vec_id IS NOT NULL AND size(v) > 0")
     finite = F.forall("v", lambda x: F.coalesce((x - x) == 0, F.lit(False)))
     rows = rows.where(finite & F.exists("v", lambda x: x != 0))
+    if length is not None:
+        return rows.where(F.size("v") == length)
     common = rows.groupBy(F.size("v").alias("length")).count().orderBy(F.desc("count"), F.desc("length")).first()
     return rows.where(F.size("v") == (common["length"] if common else 0))
 
@@ -120,14 +122,14 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     spark = vectors.sparkSession
     every = staged(usable(vectors), "vectors")
     n = every.count()
-    asked = usable(queries)
-    schema = "query_id long, rank int, vec_id long, score double"
     if n == 0:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    length = len(every.first()["v"])
+    asked = usable(queries, length)
     pages = max(1, min(PAGES, n // LEAST_ROWS))
     cut = int(min(1.0, FIT_VECTORS / n) * (1 << 32))
     sample = every.where(F.pmod(F.xxhash64("vec_id"), F.lit(1 << 32)) < cut).select("v").toPandas()["v"]
-    curves = fit(np.stack(sample.to_numpy()) if len(sample) else np.ones((1, len(every.first()["v"]))), pages)
+    curves = fit(np.stack(sample.to_numpy()) if len(sample) else np.ones((1, length)), pages)
     width = min(pages, int(np.ceil(share * pages)) + 1)
 
     def matrix(batch: pa.RecordBatch) -> np.ndarray:
