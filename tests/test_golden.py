@@ -1,9 +1,36 @@
-"""Read views on the small league with known answers."""
+"""Read views on the league with answers worked out by hand."""
 
 from datetime import date, datetime
 
 import pytest
-from golden import ADVANCED, BASIC, PLAYERS, STINTS, advanced, basic, players, stints, table, tables
+from golden import (
+    ADVANCED,
+    ASH,
+    BASIC,
+    ELM,
+    FIR,
+    GON,
+    MODEL_COLUMNS,
+    MODELS,
+    NIL,
+    NOR,
+    OAK,
+    PLAYERS,
+    PREDICTION_COLUMNS,
+    PREDICTIONS,
+    QUILL,
+    REED,
+    STINTS,
+    SUD,
+    YEAR,
+    YEW,
+    advanced,
+    basic,
+    players,
+    stints,
+    table,
+    tables,
+)
 from pyspark.sql import functions as F
 
 from rinkline.operators import quality as Q
@@ -20,162 +47,159 @@ def league(spark):
 
 @pytest.fixture(scope="module")
 def summary(league):
-    return staged(player_season_summary(league, 2025), "golden")
+    return staged(player_season_summary(league, YEAR), "golden")
 
 
 def one(df, player):
     return df.filter(F.col("id") == player).first()
 
 
-def test_totals_are_preferred_and_team_rows_added_up(summary):
-    star, low = one(summary, 1001), one(summary, 1002)
-    assert (star.games_played, star.goals, star.points) == (82, 30, 80)
-    assert (low.games_played, low.goals, low.points) == (20, 2, 5)
-    assert low.on_ice_expected_goals_pct == pytest.approx((0.39 * 4800 + 0.41 * 7200) / 12000)
+def test_lines_of_traded_players(summary):
+    quill, reed = one(summary, QUILL), one(summary, REED)
+    assert (quill.games_played, quill.goals, quill.points, quill.shots) == (50, 15, 37, 120)
+    assert quill.on_ice_expected_goals_pct == pytest.approx(0.53)
+    assert (reed.games_played, reed.goals, reed.points, reed.shots) == (25, 3, 4, 23)
+    assert reed.on_ice_expected_goals_pct == pytest.approx(0.43)  # (2400 + 4050) / 15000
 
 
 def test_value_over_replacement(summary):
-    star = one(summary, 1001)
-    assert star.hockey_value == pytest.approx(41.0, abs=1e-5)
-    assert star.gs60_above_replacement == pytest.approx(1.5, abs=1e-6)
-    assert one(summary, 1005).hockey_value == pytest.approx(0.0, abs=1e-9)
-    assert star.projected_hockey_value == 42.5 and star.model_version == "integration-v1"
-    assert one(summary, 1006).hockey_value is None and one(summary, 1006).model_version is None
+    quill = one(summary, QUILL)
+    assert quill.gs60_above_replacement == pytest.approx(2.04)
+    assert quill.hockey_value == pytest.approx(34.0)
+    assert one(summary, ELM).hockey_value == pytest.approx(61.6)  # 2.64 * 23.333...
+    assert one(summary, REED).hockey_value == one(summary, FIR).hockey_value == pytest.approx(0.0, abs=1e-9)
+    assert (quill.projected_hockey_value, quill.model_version) == (33.25, "heron-1")
+    yew = one(summary, YEW)
+    assert yew.hockey_value is None and yew.model_version is None and yew.games_played == 14
 
 
 def test_team_choice_and_missing_data(summary):
-    assert one(summary, 1001).team_id == 102
-    nobody = one(summary, 1007)
-    assert nobody.team_id is None and nobody.games_played is None and nobody.age is None
+    assert one(summary, QUILL).team_id == one(summary, REED).team_id == SUD
+    nil = one(summary, NIL)
+    assert nil.team_id is None and nil.games_played is None and nil.age is None
 
 
-def test_short_callups_do_not_move_the_baseline(spark, league):
+def test_nineteen_games_do_not_set_the_level(spark, league):
+    extra = 29
     t = dict(league)
-    t["players"] = players(spark, [*PLAYERS, (1009, "Short", "Callup", None, "C", None, None, True, "ACTIVE")])
-    t["player_team_stints"] = stints(spark, [*STINTS, (9, 1009, 101, date(2026, 3, 1), None)])
-    t["skater_season_stats"] = basic(spark, [*BASIC, (1009, None, 19, 0, 0, 0, 0, 0, 0, 0, 0, 10)])
-    t["skater_advanced_season_stats"] = advanced(spark, [*ADVANCED, (1009, None, 19, 3000.0, 1, -10.0, 0.0, 0.5, 0, 0, 0, 0, 0)])
-    rows = player_season_summary(t, 2025)
-    assert one(rows, 1001).hockey_value == pytest.approx(41.0, abs=1e-5)
-    assert one(rows, 1005).hockey_value == pytest.approx(0.0, abs=1e-9)
-
-
-def test_measured_zero_is_not_missing(spark, league):
-    rows = stats.skater_lines(basic(spark, [(1008, None, 20, 0, 0, 0, 0, 0, 0, 0, 0, 0)]))
-    line = rows.first()
+    t["players"] = players(spark, [*PLAYERS, (extra, "Kit", "Yarrow", None, "C", None, None, True, "ACTIVE")])
+    t["player_team_stints"] = stints(spark, [*STINTS, (10, extra, YEAR, NOR, date(2024, 3, 1), None)])
+    t["skater_season_stats"] = basic(spark, [*BASIC, (extra, None, "TOTAL", 19, 0, 0, 0, 0, 0, 0, 0, 0, 3)])
+    t["skater_advanced_season_stats"] = advanced(spark, [*ADVANCED, (extra, None, "TOTAL", 19, 1900.0, 60, -9.0, 0.1, 0.3, 0, 0, 0, 0, 0)])
+    rows = player_season_summary(t, YEAR)
+    assert one(rows, QUILL).hockey_value == pytest.approx(34.0)
+    assert one(rows, extra).hockey_value == pytest.approx((-9.0 * 3600 / 1900 - 0.36) * 1900 / 3600)
+
+
+def test_measured_zero_is_not_missing(spark):
+    line = stats.skater_lines(basic(spark, [(OAK, None, "TOTAL", 20, 0, 0, 0, 0, 0, 0, 0, 0, 0)])).first()
     assert line.goals == 0 and line.points == 0 and line.shooting_percentage is None
 
 
 def test_ties_and_nulls_across_pages(spark, league):
-    tied = {**league, "skater_season_stats": basic(spark, [(*r[:5], 30, *r[6:]) if r[0] in (1003, 1005) else r for r in BASIC])}
-    rows = staged(player_season_summary(tied, 2025), "tied")
+    level = [(*r[:6], 30, *r[7:]) if r[0] in (ASH, FIR) else r for r in BASIC]
+    rows = staged(player_season_summary({**league, "skater_season_stats": basic(spark, level)}, YEAR), "tied")
 
     def order(direction):
         ids = []
         for page in (1, 2, 3):
-            q = views.PlayerQuery(season=2025, sort="points", order=direction, page=page, page_size=2)
-            found, total = views.list_players(rows, q)
-            assert total.first().total_items == 6 and total.first().total_pages == 3
+            found, total = views.list_players(rows, views.PlayerQuery(season=YEAR, sort="points", order=direction, page=page, page_size=3))
+            assert (total.first().total_items, total.first().total_pages) == (7, 3)
             ids += [r.id for r in found.collect()]
         return ids
 
-    assert order("desc") == [1001, 1004, 1003, 1005, 1002, 1006]
-    assert order("asc") == [1002, 1003, 1005, 1004, 1001, 1006]
+    assert order("desc") == [ELM, QUILL, ASH, FIR, OAK, REED, YEW]
+    assert order("asc") == [REED, OAK, ASH, FIR, QUILL, ELM, YEW]
 
 
 def test_player_filters(summary):
-    ids = lambda **q: {r.id for r in views.filtered(summary, views.PlayerQuery(season=2025, **q)).collect()}
-    assert ids(team="bbb") == {1001, 1002, 1003, 1004}
-    assert ids(position="C") == {1001, 1004}
-    assert ids(roster_status="LTIR") == {1003}
-    assert ids(search=" forward ") == {1002, 1003, 1004}
-    assert ids(search="' OR TRUE --") == set()
+    ids = lambda **q: {r.id for r in views.filtered(summary, views.PlayerQuery(season=YEAR, **q)).collect()}
+    assert ids(team="sud") == {QUILL, REED, ASH, ELM}
+    assert ids(position="RW") == {ASH, OAK}
+    assert ids(roster_status="MINORS") == {YEW}
+    assert ids(search=" REED ") == {REED}
+    assert ids(search="%' OR '1'='1") == set()
 
 
 def test_goalie_bundle(summary, league):
-    bundle = views.player_stats(summary, league).filter("player_id = 1006").first()
+    bundle = views.player_stats(summary, league).filter(F.col("player_id") == YEW).first()
     assert bundle.traditional is None and bundle.advanced is None
-    assert bundle.goalie.goals_saved_above_expected == 5.0
-    assert bundle.goalie.save_percentage == pytest.approx(605 / 660)
-    assert bundle.goalie.goals_against_average == pytest.approx(2.5)
-    star = views.player_stats(summary, league).filter("player_id = 1001").first()
-    assert star.goalie is None and star.advanced.ice_time_seconds == 98400
+    assert bundle.goalie.goals_saved_above_expected == 4.5
+    assert bundle.goalie.save_percentage == pytest.approx(384 / 420)
+    assert bundle.goalie.goals_against_average == pytest.approx(36 / 14)
+    quill = views.player_stats(summary, league).filter(F.col("player_id") == QUILL).first()
+    assert quill.goalie is None and quill.advanced.ice_time_seconds == 60000
 
 
 def test_value_record_hours(summary):
-    record = views.value_records(summary).filter("player_id = 1001").first()
-    assert record.toi_hours == pytest.approx(27.3333, abs=1e-4)
+    record = views.value_records(summary).filter(F.col("player_id") == QUILL).first()
+    assert record.toi_hours == pytest.approx(16.6667, abs=1e-4)
 
 
 def test_team_views(summary, league):
-    counts = views.team_details(league).filter("id = 102").first()
+    counts = views.team_details(league).filter(F.col("id") == SUD).first()
     assert (counts.ACTIVE, counts.LTIR, counts.MINORS, counts.UNKNOWN) == (3, 1, 0, 0)
-    assert [r.id for r in views.team_roster(summary, 2025, 102, "ACTIVE").collect()] == [1004, 1002, 1001]
-    assert [r.id for r in views.team_directory(league["teams"]).collect()] == [101, 102]
+    assert [r.id for r in views.team_roster(summary, YEAR, SUD, "ACTIVE").collect()] == [QUILL, REED, ELM]  # by full name
+    assert [r.id for r in views.team_directory(league["teams"]).collect()] == [SUD, NOR]  # Herons, Lanterns
 
 
 def test_cap_sheets(league):
-    sheets = {r.team_id: r for r in C.team_caps(league, 2025).collect()}
-    betas = sheets[102]
-    assert (betas.active_roster_cap_cents, betas.ltir_cap_cents, betas.minors_cap_cents, betas.total_commitments_cents) == (800_000_000, 200_000_000, 0, 1_000_000_000)
-    alphas = sheets[101]
-    assert (alphas.minors_cap_cents, alphas.total_commitments_cents) == (0, 0)
-    assert alphas.cap_space_cents == alphas.salary_cap_cents == 9_550_000_000
+    sheets = {r.team_id: r for r in C.team_caps(league, YEAR).collect()}
+    sud, nor = sheets[SUD], sheets[NOR]
+    assert (sud.active_roster_cap_cents, sud.ltir_cap_cents, sud.minors_cap_cents, sud.total_commitments_cents) == (620_000_000, 310_000_000, 0, 930_000_000)
+    assert (nor.minors_cap_cents, nor.total_commitments_cents) == (0, 0)  # 900,000 lies below the relief of 2023
+    assert nor.cap_space_cents == nor.salary_cap_cents == 8_350_000_000
 
 
 def test_overview_and_leaders(summary):
     totals = views.league_totals(summary).first()
-    assert (totals.players, totals.goals) == (6, 72)
+    assert (totals.players, totals.goals) == (7, 65)
     first = views.league_leaders(summary).filter("metric = 'hockey_value' and place = 1").first()
-    assert first.id == 1004
-    leaders = [r.id for r in views.value_leaders(summary, 2025, 10, team="bbb").collect()]
-    assert leaders[0] == 1004 and 1005 not in leaders
+    assert first.id == ELM
+    leaders = [r.id for r in views.value_leaders(summary, YEAR, 10, team="sud").collect()]
+    assert leaders[:2] == [ELM, QUILL] and not {FIR, OAK} & set(leaders)
 
 
 def test_inactive_models_and_payloads_without_value(spark, league):
     t = dict(league)
-    head = "id model_type version active created_at"
-    t["model_versions"] = table(spark, "model_versions", head, [(3001, "skater_value", "integration-v1", True, datetime(2025, 1, 1)), (3002, "skater_value", "v2", False, datetime(2025, 6, 1))])
-    head = "id model_version_id player_id target_season position_group input_features created_at"
-    t["predictions"] = table(spark, "predictions", head, [
-        (1, 3001, 1001, 2026, "forward", '{"predicted_hockey_value": 42.5}', datetime(2025, 2, 1)),
-        (2, 3002, 1001, 2026, "forward", '{"predicted_hockey_value": 99}', datetime(2025, 7, 1)),
-        (3, 3001, 1002, 2026, "forward", "{}", datetime(2025, 7, 1)),
-    ])
-    rows = player_season_summary(t, 2025)
-    assert one(rows, 1001).projected_hockey_value == 42.5
-    assert one(rows, 1002).projected_hockey_value is None
+    t["model_versions"] = table(spark, "model_versions", MODEL_COLUMNS, [*MODELS, (6, "skater_value", "heron-2", False, datetime(2024, 2, 1))])
+    more = [(2, 6, QUILL, 2024, "forward", '{"predicted_hockey_value": 77}', datetime(2024, 2, 2)), (3, 5, REED, 2024, "forward", "{}", datetime(2024, 2, 2))]
+    t["predictions"] = table(spark, "predictions", PREDICTION_COLUMNS, [*PREDICTIONS, *more])
+    rows = player_season_summary(t, YEAR)
+    assert one(rows, QUILL).projected_hockey_value == 33.25
+    assert one(rows, REED).projected_hockey_value is None
 
 
 def test_contract_views(league):
-    deal = C.player_contracts(league, 2025, [1001]).first()
-    assert deal.id == 2001 and [s.season for s in deal.seasons] == [2025, 2026] and deal.signing_team.abbreviation == "AAA"
-    ledger = C.team_ledger(league["contracts"], league["contract_seasons"], 2025, 102)
-    assert {(r.player_id, r.contract_id) for r in ledger.collect()} == {(1001, 2001), (1003, 2002)}
+    deal = C.player_contracts(league, YEAR, [QUILL]).first()
+    assert deal.id == 31 and [s.season for s in deal.seasons] == [2023, 2024] and deal.signing_team.abbreviation == "NOR"
+    ledger = C.team_ledger(league["contracts"], league["contract_seasons"], YEAR, SUD)
+    assert {(r.player_id, r.contract_id) for r in ledger.collect()} == {(QUILL, 31), (ASH, 32)}
 
 
 def test_comparison(summary, league):
-    rows = views.compare(summary, league, [1004, 1001], 2025).collect()
-    assert [r.player_id for r in rows] == [1004, 1001]
-    assert rows[1].contract.id == 2001 and rows[0].contract is None and rows[1].player.team.id == 102
-    for bad in ("1001", "1,1", "a,b", "1,2,3,4,5", "0,1"):
+    rows = views.compare(summary, league, [ELM, QUILL], YEAR).collect()
+    assert [r.player_id for r in rows] == [ELM, QUILL]
+    assert rows[0].contract is None and rows[1].contract.id == 31 and rows[1].player.team.id == SUD
+    for bad in ("24", "24,24", "x,y", "5,4,3,2,1", "0,24"):
         with pytest.raises(views.RequestError):
             views.comparison_ids(bad)
 
 
 def test_search_and_career(summary, league):
-    assert [r.id for r in views.search_players(league, "forward", 2).collect()] == [1004, 1002]
-    assert [r.id for r in views.search_teams(league["teams"], "o", 5).collect()] == [103]
-    history = views.career(summary, league).filter("player_id = 1001").collect()
-    assert [(r.season, r.points) for r in history] == [(2025, 80)]
+    assert {r.id for r in views.search_players(league, "o", 9).collect()} == {REED, OAK}
+    assert views.search_players(league, "o", 1).count() == 1
+    assert [r.id for r in views.search_teams(league["teams"], "gon", 5).collect()] == [GON]
+    history = views.career(summary, league).filter(F.col("player_id") == QUILL).collect()
+    assert [(r.season, r.points) for r in history] == [(YEAR, 37)]
 
 
 def test_seasons(league):
     seasons = league["seasons"]
-    assert views.current_season(seasons, date(2026, 6, 30)) == 2025
-    assert views.current_season(seasons, date(2026, 7, 1)) == 2026
+    assert views.current_season(seasons, date(2024, 6, 30)) == 2023
+    assert views.current_season(seasons, date(2024, 7, 1)) == 2024
     with pytest.raises(views.RequestError):
-        views.require_season(seasons, 2026, date(2026, 6, 30))
+        views.require_season(seasons, 2024, date(2024, 6, 30))
 
 
 def test_constraints_hold(league):
@@ -185,6 +209,6 @@ def test_constraints_hold(league):
 
 def test_coverage(league):
     row = C.coverage(league).first()
-    assert (row.total_player_seasons, row.covered_player_seasons, row.coverage_pct) == (6, 3, 50.0)
-    assert [r.missing_seasons for r in C.gap_candidates(league).orderBy("player_id").collect()] == [[2025]] * 3
+    assert (row.total_player_seasons, row.covered_player_seasons) == (7, 3) and row.coverage_pct == pytest.approx(42.86, abs=0.01)
+    assert [(r.player_id, r.missing_seasons) for r in C.gap_candidates(league).orderBy("player_id").collect()] == [(p, [YEAR]) for p in (REED, ELM, FIR, OAK)]
     assert C.cached_summary(league, 3) == {"players": 0, "contracts": 3, "contract_seasons": 4, "cached": 1}
