@@ -46,9 +46,9 @@ def parse_number(value: Column, integer: bool = False) -> Column:
 
 
 def parse_strict_integer(value: Column) -> Column:
-    """Integer only when the text is integral ('12.0' is 12, '12.5' is null)."""
-    number = decimal_of(value)
-    return F.when(number == F.floor(number), number.try_cast("bigint"))
+    """Integer only when the number is integral ('12.0' is 12, '12.5' and '12.00000000001' are null)."""
+    number = _numeric_text(value).try_cast("double")
+    return F.when(number == F.rint(number), decimal_of(value).try_cast("bigint"))
 
 
 def is_missing_number(value: Column) -> Column:

@@ -5,15 +5,13 @@ All take column names, so the same code runs on any entity and period.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-SMALL_ROWS = 100_000
-
 
 def first_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column]) -> DataFrame:
     """The first row of every key under ``order``.
@@ -70,39 +68,35 @@ def prefer_newest_total(
     df: DataFrame,
     keys: Sequence[str],
     totals: Mapping[str, Column],
-    parts: Mapping[str, Column],
+    parts: Callable[[Callable[[Column], Column]], Mapping[str, Column]],
     newest: Sequence[Column],
     scope: str = "stat_scope",
     total: str = "TOTAL",
     part: str = "TEAM",
 ) -> DataFrame:
-    """The newest total row of a key, else aggregates over its part rows.
+    """The newest total row of a key (largest ``newest``), else aggregates over its part rows.
 
-    Both branches end partitioned by the keys, so the anti join between them
-    needs no further exchange.
+    ``parts`` builds its aggregates with a function that blanks a column on other
+    rows. One grouped aggregate: the newest total travels as the largest
+    (``newest``, values) struct next to the part sums, so nothing is read twice
+    and a hot key sends one row per task.
     """
-    newest_total = first_per_key(df.filter(F.col(scope) == total), keys, newest).select(
-        *keys, *[value.alias(name) for name, value in totals.items()]
+    is_total = F.coalesce(F.col(scope) == total, F.lit(False))
+    is_part = F.coalesce(F.col(scope) == part, F.lit(False))
+    order = F.struct(*[c.alias(f"_{i}") for i, c in enumerate(newest)])
+    values = F.struct(*[v.alias(name) for name, v in totals.items()])
+    grouped = df.filter(is_total | is_part).groupBy(*keys).agg(
+        F.max_by(values, F.when(is_total, order)).alias("_total"),
+        F.max(is_total).alias("_has_total"),
+        *[v.alias(f"_p_{name}") for name, v in parts(lambda c: F.when(is_part, c)).items()],
     )
-    part_sums = (
-        df.filter(F.col(scope) == part)
-        .groupBy(*keys)
-        .agg(*[value.alias(name) for name, value in parts.items()])
+    return grouped.select(
+        *keys,
+        *[
+            F.when(F.col("_has_total"), F.col(f"_total.{name}")).otherwise(F.col(f"_p_{name}")).alias(name)
+            for name in totals
+        ],
     )
-    uncovered = part_sums.join(newest_total.select(*keys), list(keys), "left_anti")
-    return newest_total.unionByName(uncovered)
-
-
-def small_side(df: DataFrame, max_rows: int = SMALL_ROWS) -> DataFrame:
-    """``df`` as a broadcast side if it has at most ``max_rows`` rows.
-
-    The rows are read once, bounded; a larger frame is returned as it is and
-    the join is left to the planner (shuffled, with AQE skew handling).
-    """
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return df
-    return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
 
 
 def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:

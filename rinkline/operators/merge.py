@@ -8,15 +8,18 @@ Rows missing from the new snapshot are always retained.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkline import schemas
-from rinkline.operators.keyed import absent_from, first_per_key, small_side
+from rinkline.operators.keyed import absent_from, first_per_key
 from rinkline.session import staged
 
 CREATED, UPDATED, KEPT = "created", "updated", "kept"
+#: Partition values that are pushed to a scan as a filter, at most.
+PUSHED_VALUES = 1000
 
 
 def _rule(rule: str, old: Column, new: Column) -> Column:
@@ -122,17 +125,45 @@ def apply_merge(plan: DataFrame, path: str, partition: str | None = None) -> Dat
     existing side through ``touched`` so that untouched ones are never read.
     """
     result = staged(plan, "merge")
-    out = result.drop("_action").write.mode("overwrite")
+    rows = result.drop("_action")
     if partition is not None:
-        out = out.option("partitionOverwriteMode", "dynamic").partitionBy(partition)
-    out.parquet(path)
+        out = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        out.partitionBy(partition).parquet(path)
+    else:
+        replace_table(rows, path)
     return merge_counts(result)
 
 
+def replace_table(rows: DataFrame, path: str) -> None:
+    """Write a whole table beside the one at ``path``, then switch the two folders.
+
+    The only copy is never half written: until the switch readers see the old
+    table, and if the switch is cut short one of the two folders is complete.
+    """
+    spark = rows.sparkSession
+    fresh, former = f"{path}.new-{uuid4().hex}", f"{path}.old-{uuid4().hex}"
+    rows.write.parquet(fresh)
+    of = spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+    store = of(path).getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if store.exists(of(path)):
+        store.rename(of(path), of(former))
+    if not store.rename(of(fresh), of(path)):
+        raise OSError(f"could not move {fresh} to {path}")
+    store.delete(of(former), True)
+    spark.catalog.refreshByPath(path)
+
+
 def touched(existing: DataFrame, incoming: DataFrame, partition: str) -> DataFrame:
-    """Existing rows in the partitions that the incoming rows fall in (pruned at the scan)."""
+    """Existing rows in the partitions that the incoming rows fall in, pruned at the scan.
+
+    Their values (seasons, at most ``PUSHED_VALUES`` of them) become a filter on
+    the partition column; more than that are joined.
+    """
     values = incoming.select(partition).distinct()
-    return existing.join(small_side(values, 10_000), partition, "left_semi")
+    found = [r[0] for r in values.limit(PUSHED_VALUES + 1).collect()]
+    if len(found) > PUSHED_VALUES:
+        return existing.join(values, partition, "left_semi")
+    return existing.filter(F.col(partition).isin([v for v in found if v is not None]))
 
 
 def append_absent(rows: DataFrame, path: str) -> int:

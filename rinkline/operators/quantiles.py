@@ -1,98 +1,112 @@
-"""Exact interpolated quantiles per group that never gather a group in one task."""
+"""Exact interpolated quantiles per group that never gather a group in one task, one path for every size."""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from rinkline.operators.keyed import small_side
 from rinkline.session import staged
 
-# up to here the built-in exact percentile holds a group's values comfortably
-DIRECT_ROWS = 2_000_000
 ACCURACY = 10_000
 
 
-def group_quantiles(
+def group_quantiles(df: DataFrame, keys: Sequence[str], columns: Sequence[str], p: float) -> DataFrame:
+    """Linear-interpolated ``p`` quantile of each column per group, nulls skipped."""
+    return named_quantiles(df, keys, {c: (c, p) for c in columns})
+
+
+def named_quantiles(
     df: DataFrame,
     keys: Sequence[str],
-    columns: Sequence[str],
-    p: float,
-    direct_rows: int = DIRECT_ROWS,
-    rows: int | None = None,
+    wanted: Mapping[str, tuple[str, float]],
+    accuracy: int = ACCURACY,
+    margins: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Linear-interpolated ``p`` quantile of each column per group, nulls skipped.
+    """One row per group with a column per name: the (column, p) quantile, as a double.
 
-    ``df`` must be a stored frame (a table or ``staged``), because the large
-    path reads it twice. Its row count (``rows`` if known, as an upper bound)
-    picks the path: up to ``direct_rows`` the built-in ``percentile``; beyond it, a mergeable sketch brackets the
-    wanted rank, one aggregate counts what lies under the bracket and the few
-    values inside it, and the answer is picked by exact rank.
+    ``df`` must be a stored frame (a table or ``staged``): it is read twice. A
+    mergeable sketch brackets each wanted rank, one aggregate counts what lies
+    beside the bracket and the few values inside it, and the answer is picked
+    by exact rank. A group whose rank lies outside its bracket (the sketch's
+    bound rules that out for the default margins) is done again with an open one.
     """
-    if (df.count() if rows is None else rows) <= direct_rows:
-        return df.groupBy(*keys).agg(*[F.percentile(c, F.lit(p)).alias(c) for c in columns])
-    return bracketed_quantiles(df, keys, columns, p)
-
-
-def bracketed_quantiles(
-    df: DataFrame, keys: Sequence[str], columns: Sequence[str], p: float, accuracy: int = ACCURACY
-) -> DataFrame:
-    """The large path of ``group_quantiles``; exact, or it raises."""
     # a bracket must hold a few ranks on either side, so small groups take a wide
     # one and groups of a handful of rows (no margin fits) take every value
-    margins = [3.0 / accuracy, 0.01, 0.1]
-    lows = [max(p - m, 0.0) for m in margins]
-    highs = [min(p + m, 1.0) for m in margins]
-    points = F.array(*[F.lit(x) for x in lows + highs])
-    sketch = df.groupBy(*keys).agg(
-        *[
-            F.struct(
-                F.count(c).alias("n"), F.percentile_approx(c, points, accuracy).alias("at")
-            ).alias(c)
-            for c in columns
-        ]
-    )
+    margins = [3.0 / accuracy, 0.01, 0.1] if margins is None else margins
+    columns = {name: F.col(c).cast("double").alias(name) for name, (c, _) in wanted.items()}
+    rows = df.select(*keys, *columns.values())
+
+    def sketched(name: str, p: float) -> Column:
+        points = [max(p - m, 0.0) for m in margins] + [min(p + m, 1.0) for m in margins]
+        at = F.percentile_approx(name, F.array(*map(F.lit, points)), accuracy)
+        return F.struct(F.count(name).alias("n"), at.alias("at")).alias(name)
 
     def tall(frame: DataFrame) -> DataFrame:
-        cells = [F.struct(F.lit(c).alias("_m"), F.col(c).alias("_v")) for c in columns]
+        cells = [
+            F.struct(F.lit(name).alias("_m"), F.lit(p).alias("_p"), F.col(name).alias("_v"))
+            for name, (_, p) in wanted.items()
+        ]
         return frame.select(*keys, F.inline(F.array(*cells)))
 
-    def end(first: int, open_at: list[bool]) -> Column:
+    def end(first: int, sign: int) -> Column:
         """Bracket end by group size; an end at the edge of the range stays open."""
         picked = F.lit(None).cast("double")
-        for i in reversed(range(len(margins))):
-            value = F.lit(None) if open_at[i] else F.col("_v.at")[first + i]
-            picked = F.when(F.col("_v.n") * margins[i] >= 3, value.cast("double")).otherwise(picked)
+        for i, m in reversed(list(enumerate(margins))):
+            edge = F.col("_p") + sign * m
+            inner = F.when((edge > 0) & (edge < 1), F.col("_v.at")[first + i])
+            picked = F.when(F.col("_v.n") * m >= 3, inner).otherwise(picked)
         return picked
 
-    brackets = tall(sketch).select(
-        *keys,
-        "_m",
-        end(0, [x <= 0.0 for x in lows]).alias("_low"),
-        end(len(margins), [x >= 1.0 for x in highs]).alias("_high"),
+    sketches = tall(rows.groupBy(*keys).agg(*[sketched(name, p) for name, (_, p) in wanted.items()]))
+    brackets = sketches.select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_m").alias("_k_m"),
+        end(0, -1).alias("_low"),
+        end(len(margins), 1).alias("_high"),
+    )
+    values = tall(rows).filter(F.col("_v").isNotNull())
+    found = _picked(values, brackets, keys)
+    missed = found.filter("_outside").select(
+        *[F.col(k).alias(f"_k_{k}") for k in keys],
+        F.col("_m").alias("_k_m"),
+        F.lit(None).cast("double").alias("_low"),
+        F.lit(None).cast("double").alias("_high"),
+    )
+    again = _picked(values, missed, keys)
+    every = found.filter(~F.col("_outside")).unionByName(again)
+    # a group of nulls only has no value to pick, but still its row
+    every = every.select(*keys, "_m", "_q").unionByName(
+        sketches.select(*keys, "_m", F.lit(None).cast("double").alias("_q"))
     )
+    return every.groupBy(*keys).agg(
+        *[F.max(F.when(F.col("_m") == name, F.col("_q"))).alias(name) for name in wanted]
+    )
+
+
+def _picked(values: DataFrame, brackets: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """(keys, _m, _q, _outside): the exact quantile if its ranks lie within the bracket."""
+    same = F.col("_m") == F.col("_k_m")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_k_{k}"))
     value = F.col("_v")
     side = F.when(value < F.col("_low"), -1).when(value > F.col("_high"), 1).otherwise(0)
     counted = (
-        tall(df.select(*keys, *[F.col(c).cast("double").alias(c) for c in columns]))
-        .filter(value.isNotNull())
-        .join(small_side(brackets), [*keys, "_m"])
-        .select(*keys, "_m", side.alias("_side"), F.when(side == 0, value).alias("_v"))
-        .groupBy(*keys, "_m", "_side", "_v")
+        values.join(brackets, same)
+        .select(*keys, "_m", "_p", side.alias("_side"), F.when(side == 0, value).alias("_v"))
+        .groupBy(*keys, "_m", "_p", "_side", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
     # only the bracket's distinct values remain per group: a sliver of its rows
     group = Window.partitionBy(*keys, "_m")
-    position = F.lit(p) * (F.sum("_n").over(group) - 1)
     ranked = counted.select(
         *keys,
         "_m",
         "_side",
         "_v",
-        position.alias("_position"),
+        (F.col("_p") * (F.sum("_n").over(group) - 1)).alias("_position"),
         F.sum("_n")
         .over(group.orderBy("_side", "_v").rowsBetween(Window.unboundedPreceding, 0))
         .alias("_upto"),
@@ -110,34 +124,21 @@ def bracketed_quantiles(
     outside = (F.col("_lower._side") != 0) | (F.col("_upper._side") != 0)
     step = F.col("_position") - F.floor("_position")
     lower, upper = F.col("_lower._v"), F.col("_upper._v")
-    answer = F.when(
-        outside, F.raise_error(F.lit("quantile rank fell outside its bracket")).cast("double")
-    ).otherwise(lower + (upper - lower) * step)
-    wide = picked.withColumn("_q", answer).groupBy(*keys)
-    return wide.agg(*[F.max(F.when(F.col("_m") == c, F.col("_q"))).alias(c) for c in columns])
-
-
-def quantile_edges(df: DataFrame, column: str, bins: int) -> list[float]:
-    """Distinct quantile edges of one column of a stored frame (bins + 1 at most)."""
-    whole = df.select(F.lit(1).alias("_all"), F.col(column).cast("double").alias(column))
-    edges: list[float] = []
-    if df.count() <= DIRECT_ROWS:
-        points = F.array(*[F.lit(i / bins) for i in range(bins + 1)])
-        edges = whole.agg(F.percentile(column, points)).first()[0] or []
-    else:
-        for i in range(bins + 1):
-            edges.append(bracketed_quantiles(whole, ["_all"], [column], i / bins).first()[column])
-    return sorted(set(edges))
+    return picked.select(*keys, "_m", (lower + (upper - lower) * step).alias("_q"), outside.alias("_outside"))
 
 
 def quantile_tiers(df: DataFrame, column: str, name: str, bins: int = 5) -> DataFrame:
     """Tier 0.. by quantile edges, right-closed, lowest value included, equal edges merged.
 
     With fewer than two distinct edges there is no bin and every tier is null.
+    All edges are found in one pass and joined as one row.
     """
     stored = staged(df, "tiers")
-    edges = quantile_edges(stored.filter(F.col(column).isNotNull()), column, bins)
-    if len(edges) < 2:
-        return stored.withColumn(name, F.lit(None).cast("int"))
-    inner = sum((F.when(F.col(column) > e, 1).otherwise(0) for e in edges[1:-1]), F.lit(0))
-    return stored.withColumn(name, F.when(F.col(column).isNotNull(), inner).cast("int"))
+    wanted = {f"_e{i}": (column, i / bins) for i in range(bins + 1)}
+    one = stored.select(F.lit(1).alias("_all"), column)
+    edges = named_quantiles(one, ["_all"], wanted).select(
+        F.array_sort(F.array_distinct(F.filter(F.array(*wanted), lambda e: e.isNotNull()))).alias("_edges")
+    )
+    inner = F.filter(F.slice("_edges", 2, F.greatest(F.size("_edges") - 2, F.lit(0))), lambda e: F.col(column) > e)
+    tier = F.when(F.col(column).isNotNull() & (F.size("_edges") >= 2), F.size(inner)).cast("int")
+    return stored.join(F.broadcast(edges), F.lit(True), "left").withColumn(name, tier).drop("_edges")

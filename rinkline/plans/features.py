@@ -7,16 +7,14 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rinkline.functions.numbers import above, per_60, positive, share_of
+from rinkline.functions.numbers import above, finite, per_60, positive, share_of
 from rinkline.functions.text import position_group
-from rinkline.operators.keyed import flag_members, small_side
 from rinkline.operators.quality import (
     assert_columns,
     assert_frame,
     assert_no_leakage,
     check_feature_options,
 )
-from rinkline.operators.quantiles import DIRECT_ROWS
 from rinkline.plans.stats import model_player_seasons, salary_caps
 from rinkline.plans.value import replacement_baseline
 from rinkline.session import staged
@@ -47,6 +45,7 @@ ZONES = {
     "defensive_zone_start_pct": "defensive_zone_shift_starts",
     "neutral_zone_start_pct": "neutral_zone_shift_starts",
 }
+# fixed values: metrics held against the replacement level, by direction
 HIGHER_IS_BETTER = [
     "goals_per_60",
     "primary_assists_per_60",
@@ -81,7 +80,7 @@ GRAIN = ["player_id", "season"]
 def join_salary_caps(players: DataFrame, caps: DataFrame) -> DataFrame:
     """Player-seasons with their season's cap, its fixed-scale fraction and the position group."""
     wanted = caps.select("season", "season_label", "salary_cap_cents", "salary_cap_dollars")
-    joined = players.join(small_side(wanted), "season", "left")
+    joined = players.join(wanted, "season", "left")
     fraction = F.col("salary_cap_dollars") / CAP_SCALE_DOLLARS
     return joined.withColumn("position_group", position_group(F.col("position"))).withColumn(
         "salary_cap_fraction", fraction
@@ -125,8 +124,10 @@ def feature_frame(df: DataFrame, min_games: int = MINIMUM_GAMES, check: bool = F
         **zones,
         "eligible_for_training": eligible,
     }
-    # every division is guarded, so no infinity can arise from finite input
-    return df.select(*[c for c in df.columns if c not in out], *[v.alias(n) for n, v in out.items()])
+    flag = "eligible_for_training"
+    # an infinite or NaN input (or a quotient of one) counts as missing
+    clean = {n: v if n == flag else finite(v.cast("double")) for n, v in out.items()}
+    return df.select(*[c for c in df.columns if c not in out], *[v.alias(n) for n, v in clean.items()])
 
 
 def training_rows(df: DataFrame, min_games: int = MINIMUM_GAMES) -> DataFrame:
@@ -137,7 +138,6 @@ def above_replacement(
     df: DataFrame,
     percentile: float = PERCENTILE,
     min_games: int = MINIMUM_GAMES,
-    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """Features with thresholds, baselines, pool flag and metrics above replacement."""
     check_feature_options(min_games, percentile)
@@ -151,11 +151,11 @@ def above_replacement(
     )
     group = ["season", "position_group"]
     thresholds, baselines = replacement_baseline(
-        eligible, group, "toi_per_game", REPLACEMENT_METRICS, percentile, direct_rows
+        eligible, group, "toi_per_game", REPLACEMENT_METRICS, percentile
     )
     baselines = baselines.select(*group, *[F.col(m).alias(f"replacement_{m}") for m in REPLACEMENT_METRICS])
     thresholds = thresholds.withColumnRenamed("threshold", "replacement_toi_per_game_threshold")
-    level = small_side(thresholds.join(baselines, group, "left"))
+    level = thresholds.join(baselines, group, "left")
     in_pool = (
         F.col("eligible_for_training")
         & F.col("position_group").isNotNull()
@@ -171,11 +171,6 @@ def above_replacement(
     )
 
 
-def flag_pool(df: DataFrame, pool: DataFrame) -> DataFrame:
-    """Pool flag by composite key, for a pool kept as a separate table."""
-    return flag_members(df, pool, GRAIN, "is_replacement_pool")
-
-
 def replacement_report(df: DataFrame) -> dict[str, DataFrame]:
     """Pool size, pool by position, the newest twelve thresholds and the top fifteen players."""
     pool = df.filter("is_replacement_pool")

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinkline.operators.quality import QualityError, assert_frame, assert_none, grain_violations
+from rinkline.functions.numbers import finite
 from rinkline.operators.quantiles import group_quantiles, quantile_tiers
 from rinkline.plans.features import above_replacement
 from rinkline.session import staged
@@ -131,7 +132,7 @@ def temporal_split(df: DataFrame) -> dict[str, DataFrame]:
 
 def fill_values(stored: DataFrame) -> dict[str, float | str]:
     """Median of every numeric input and the most frequent position group of a stored frame."""
-    numbers = stored.select(F.lit(1).alias("_all"), *NUMERIC_FEATURES)
+    numbers = stored.select(F.lit(1).alias("_all"), *[finite(F.col(c).cast("double")).alias(c) for c in NUMERIC_FEATURES])
     medians = group_quantiles(numbers, ["_all"], NUMERIC_FEATURES, 0.5).first()
     usual = (
         stored.filter("position_group is not null")
@@ -145,11 +146,8 @@ def fill_values(stored: DataFrame) -> dict[str, float | str]:
 
 
 def model_inputs(df: DataFrame, fills: Mapping[str, float | str]) -> DataFrame:
-    """Inputs as doubles with the training fills; NaN counts as missing."""
-    numbers = [
-        F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.lit(float(fills[c]))).alias(c)
-        for c in NUMERIC_FEATURES
-    ]
+    """Inputs as doubles with the training fills; NaN and infinities count as missing."""
+    numbers = [F.coalesce(finite(F.col(c).cast("double")), F.lit(float(fills[c]))).alias(c) for c in NUMERIC_FEATURES]
     group = F.coalesce("position_group", F.lit(fills["position_group"])).alias("position_group")
     rest = [c for c in df.columns if c not in NUMERIC_FEATURES and c not in CATEGORICAL_FEATURES]
     return df.select(*rest, *numbers, group)
@@ -231,8 +229,8 @@ def assert_metadata(metadata: Mapping) -> None:
         raise QualityError("model metadata: validation season must come before the test season")
     for split in SPLITS:
         found = metadata["metrics"].get(split, {})
-        finite = all(math.isfinite(found.get(k, math.nan)) for k in ("mae", "rmse", "r2"))
-        if not finite or found.get("rows", 0) <= 0:
+        whole = all(math.isfinite(found.get(k, math.nan)) for k in ("mae", "rmse", "r2"))
+        if not whole or found.get("rows", 0) <= 0:
             raise QualityError(f"model metadata: no usable {split} metrics")
 
 

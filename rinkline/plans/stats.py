@@ -178,11 +178,11 @@ MODEL_ADVANCED = [
 
 
 def _newest() -> list[Column]:
-    return [F.col("updated_at").desc_nulls_first(), F.col("id").desc()]
+    return [F.col("updated_at").isNull(), F.col("updated_at"), F.col("id")]
 
 
-def _zero_sum(name: str) -> Column:
-    return F.sum(F.coalesce(F.col(name), F.lit(0)))
+def _zero(name: str) -> Column:
+    return F.coalesce(F.col(name), F.lit(0))
 
 
 def model_skater_lines(basic: DataFrame) -> DataFrame:
@@ -191,9 +191,9 @@ def model_skater_lines(basic: DataFrame) -> DataFrame:
         regular(basic),
         PLAYER_SEASON,
         totals={**_long(*MODEL_BASIC), share: F.col(share)},
-        parts={
-            **{n: _zero_sum(n) for n in MODEL_BASIC},
-            share: ratio(_zero_sum("goals").cast("double"), _zero_sum("shots")),
+        parts=lambda only: {
+            **{n: F.sum(only(_zero(n))) for n in MODEL_BASIC},
+            share: ratio(F.sum(only(_zero("goals"))).cast("double"), F.sum(only(_zero("shots")))),
         },
         newest=_newest(),
     )
@@ -202,9 +202,6 @@ def model_skater_lines(basic: DataFrame) -> DataFrame:
 def model_advanced_lines(advanced: DataFrame) -> DataFrame:
     share, time = "on_ice_expected_goals_pct", "ice_time_seconds"
     doubles = {"ice_time_seconds", "game_score", "individual_expected_goals"}
-    weighted = F.sum(
-        F.coalesce(F.col(share), F.lit(0.0)) * F.coalesce(F.col(time), F.lit(0.0))
-    )
     return prefer_newest_total(
         regular(advanced, "all", any_case=True),
         PLAYER_SEASON,
@@ -212,9 +209,9 @@ def model_advanced_lines(advanced: DataFrame) -> DataFrame:
             **{n: F.col(n).cast("double" if n in doubles else "bigint") for n in MODEL_ADVANCED},
             share: F.col(share),
         },
-        parts={
-            **{n: _zero_sum(n) for n in MODEL_ADVANCED},
-            share: ratio(weighted, _zero_sum(time)),
+        parts=lambda only: {
+            **{n: F.sum(only(_zero(n))) for n in MODEL_ADVANCED},
+            share: ratio(F.sum(only(_zero(share) * _zero(time))), F.sum(only(_zero(time)))),
         },
         newest=_newest(),
     )

@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from rinkline.functions.dates import whole_years
 from rinkline.functions.text import display_name, read_position_group
-from rinkline.operators.keyed import first_per_key, small_side
-from rinkline.operators.quantiles import DIRECT_ROWS, group_quantiles
+from rinkline.operators.keyed import first_per_key
+from rinkline.operators.quantiles import group_quantiles
 from rinkline.plans.stats import (
     PLAYER_SEASON,
     advanced_lines,
@@ -104,18 +104,15 @@ def replacement_baseline(
     usage: str,
     metrics: list[str],
     percentile: float = PERCENTILE,
-    direct_rows: int = DIRECT_ROWS,
 ) -> tuple[DataFrame, DataFrame]:
     """(thresholds, baselines) per group of a stored frame of eligible rows.
 
     The pool is every row whose usage is at or under the group's usage
     percentile; the baseline is the pool's median of each metric.
     """
-    rows = df.count()
-    found = group_quantiles(df, group, [usage], percentile, direct_rows, rows)
-    thresholds = small_side(found.withColumnRenamed(usage, "threshold"))
+    thresholds = staged(group_quantiles(df, group, [usage], percentile).withColumnRenamed(usage, "threshold"), "thresholds")
     pool = df.join(thresholds, group).filter(F.col(usage) <= F.col("threshold"))
-    baselines = group_quantiles(pool, group, metrics, 0.5, direct_rows, rows)
+    baselines = group_quantiles(pool, group, metrics, 0.5)
     return thresholds, baselines
 
 
@@ -148,12 +145,12 @@ def read_eligible(lines: DataFrame, players: DataFrame, min_games: int = MINIMUM
     )
 
 
-def read_replacement(eligible: DataFrame, direct_rows: int = DIRECT_ROWS) -> DataFrame:
+def read_replacement(eligible: DataFrame) -> DataFrame:
     """Baseline game score per 60 by season and position group, with its threshold."""
     stored = staged(eligible, "eligible")
     group = ["season_start_year", "position_group"]
     thresholds, baselines = replacement_baseline(
-        stored, group, "toi_per_game", ["game_score_per_60"], PERCENTILE, direct_rows
+        stored, group, "toi_per_game", ["game_score_per_60"], PERCENTILE
     )
     return thresholds.withColumnRenamed("threshold", "toi_threshold").join(
         baselines.withColumnRenamed("game_score_per_60", "replacement_gs60"), group
@@ -222,10 +219,10 @@ def player_season_summary(
         F.col("game_score_per_60").isNotNull(),
         F.coalesce(version.scalar(), F.lit(FALLBACK_VERSION)),
     )
-    level = small_side(baselines.drop("toi_threshold"))
+    level = baselines.drop("toi_threshold")
     return (
         folded.join(who, "player_id")
-        .join(small_side(club), "team_id", "left")
+        .join(club, "team_id", "left")
         .join(level, ["season_start_year", "position_group"], "left")
         .select(
             F.col("player_id").alias("id"),

@@ -80,13 +80,27 @@ def csv_header(spark: SparkSession, path: str) -> list[str]:
     return names
 
 
+def assert_one_header(spark: SparkSession, path: str) -> None:
+    """All files of a path must have the same header line: one schema is read from all of them."""
+    lines = spark.read.text(path).select(
+        "value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    )
+    first = lines.filter("block = 0").groupBy("file").agg(F.min_by("value", "at").alias("header"))
+    header = F.regexp_replace("header", "^\ufeff|\r$", "")
+    if len(first.select(header.alias("header")).distinct().limit(2).collect()) > 1:
+        raise QualityError("CSV files differ in their columns")
+
+
 def read_csv(spark: SparkSession, path: str, check: bool = True) -> DataFrame:
     """A CSV snapshot as text columns plus ``_ord``, its row order in the file.
 
     Every value stays text (an empty cell is null), short rows are padded
-    with nulls and rows with too many values are refused.
+    with nulls and rows with too many values are refused, as are files whose
+    headers differ. A cell can't hold a line break, so large files can be split.
     """
     names = csv_header(spark, path)
+    if check:
+        assert_one_header(spark, path)
     columns = StructType([StructField(n, StringType()) for n in [*names, "_uneven"]])
     rows = (
         spark.read.schema(columns)

@@ -137,7 +137,8 @@ def profile_counters(lg):
 
 def contract_pages(lg) -> DataFrame:
     """One page per order: JSON, a rendered table, an empty notice or junk, by order status and balance."""
-    t = lg.tables("contracts")["contracts"]
+    # spread over tasks while rows are small; the pages are built after that
+    t = lg.tables("contracts")["contracts"].repartition("id")
     money = lambda c: F.concat(F.lit("$"), F.format_number((F.col(c) / 100).cast("decimal(20,2)"), 2))
     years = F.sequence("start_season", "end_season")
     label = lambda y: F.concat(y, F.lit("-"), F.lpad(((y + 1) % 100).cast("string"), 2, "0"))
@@ -161,8 +162,8 @@ def contract_pages(lg) -> DataFrame:
 
 
 def stored_pages(lg) -> DataFrame:
-    """The pages as a stored table, spread over tasks: parsing is the costly part, and is read by several branches."""
-    return staged(contract_pages(lg).repartition("key"), "pages")
+    """The pages as a stored table: parsing is the costly part, and is read by several branches."""
+    return staged(contract_pages(lg), "pages")
 
 
 @query("""SELECT id AS key, season_start_year, cap_hit_cents, 100000 AS base_salary_cents, total_value_cents, term_years, signed_on::VARCHAR AS signed_on,

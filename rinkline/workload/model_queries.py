@@ -67,8 +67,8 @@ def above_replacement(lg):
 
 @query(f"SELECT player_id, season, is_replacement_pool, {rounded('replacement_toi_per_game_threshold', *_OVER)} FROM over", **FEATURE_CTES)
 def above_replacement_large_path(lg):
-    """The same through the bracketed quantiles."""
-    rows = X.above_replacement(dataset(lg), direct_rows=0)
+    """The same under its earlier name; quantiles have one path for every size."""
+    rows = X.above_replacement(dataset(lg))
     return rows.select("player_id", "season", "is_replacement_pool", "replacement_toi_per_game_threshold", *_OVER)
 
 
@@ -158,14 +158,26 @@ def trained_model_metrics(lg):
     """Boosted trees fitted on the train split, with metrics of all three splits."""
     rows = staged(M.training_data(dataset(lg)), "targets")
     split = M.split_of(*M.target_seasons(rows))
-    fitted = M.fit(rows.filter(split == "train"), M.Options(iterations=10, depth=3))
+    fitted = M.fit(rows.filter(split == "train"))
     return M.regression_metrics(fitted.predict(rows).withColumn("split", split), M.TARGET, "ml_prediction", ["split"])
 
 
+def _scored(lg):
+    """Predictions for the newest season, whose next season lies beyond the data, by a model fitted on all known targets."""
+    table = staged(X.above_replacement(dataset(lg)), "above")
+    known = staged(M.training_data(dataset(lg)), "targets")
+    newest = table.agg(F.max("season")).scalar()
+    return M.score(M.fit(known), table.filter(F.col("season") == newest), 3).drop("created_at")
+
+
 @query()
 def scored_predictions(lg):
     """Next-season predictions of the newest season as rows of the predictions table."""
-    rows = staged(M.training_data(dataset(lg)), "targets")
-    fitted = M.fit(rows, M.Options(iterations=5, depth=3))
-    newest = rows.agg(F.max("season")).scalar()
-    return M.score(fitted, rows.filter(F.col("season") == newest), 3).drop("created_at")
+    return _scored(lg)
+
+
+@query("SELECT player_id, season + 1 AS target_season, 1 AS predictions, true AS not_negative FROM over WHERE season = (SELECT max(season) FROM over)", **FEATURE_CTES)
+def scored_prediction_keys(lg):
+    """Whom the newest season's predictions are for: each player once, with a value that isn't negative."""
+    value = F.get_json_object("input_features", "$.predicted_hockey_value").cast("double")
+    return _scored(lg).groupBy("player_id", "target_season").agg(F.count("*").alias("predictions"), F.min(value >= 0).alias("not_negative"))
