@@ -30,6 +30,19 @@ def contract_coverage(lg):
     return C.coverage(_owned_by_few(lg), 1996, 2001)
 
 
+@query("""SELECT count(*) AS total_player_seasons, count(c.player_id) AS covered_player_seasons, count(*) - count(c.player_id) AS missing_player_seasons,
+    round(count(c.player_id) * 100.0 / count(*), 2)::DOUBLE AS coverage_pct FROM played p LEFT JOIN covered c ON c.player_id = p.player_id AND c.season_start_year = p.season_start_year""", **_GAP)
+def contract_coverage_all_seasons(lg):
+    return C.coverage(_owned_by_few(lg), None, None)
+
+
+@query("""SELECT p.player_id, string_agg(p.season_start_year::VARCHAR, ',' ORDER BY p.season_start_year) AS seasons FROM played p
+    WHERE (player_id, season_start_year) NOT IN (SELECT (player_id, season_start_year) FROM covered) AND player_id IN (SELECT id FROM players) GROUP BY 1""", **_GAP)
+def contract_gaps_all_seasons(lg):
+    rows = C.gap_candidates({**_owned_by_few(lg), **lg.tables("data_sources", "player_external_ids")}, None, None)
+    return rows.select("player_id", F.array_join(F.transform("missing_seasons", lambda y: y.cast("string")), ",").alias("seasons"))
+
+
 def _owned_by_few(lg) -> dict[str, DataFrame]:
     """Coverage tables where only entry-level contracts count, so that gaps exist."""
     t = lg.tables(*COVERAGE)
@@ -255,26 +268,37 @@ def reconciled_seasons(lg):
     return plan.groupBy("season_start_year").agg(F.count(F.lit(1)).alias("rows"), F.sum("signing_bonus_cents").alias("bonus"))
 
 
-@query("""SELECT start_season, count(*) AS contracts, sum(average_value_cents)::BIGINT AS average, sum(term_years)::BIGINT AS term, sum(CASE WHEN is_entry_level THEN 1 ELSE 0 END)::BIGINT AS created FROM contracts WHERE start_season + term_years - 1 <= 2001 GROUP BY 1""")
-def active_snapshot_contracts(lg):
-    """An active snapshot over a store that lacks the entry-level contracts."""
+def _active_plans(lg) -> tuple[DataFrame, DataFrame]:
+    """An active snapshot of all contracts over a store of contracts that knows all of it but the entry-level ones."""
     t = lg.tables("contracts", "contract_seasons", "seasons")
-    deals = t["contracts"].filter("end_season <= 2001").select(
+    deals = t["contracts"].select(
         F.concat(F.lit("order-"), F.col("id")).alias("slug"), F.lit(0).alias("contract_no"), F.col("id").alias("contract_id"), "player_id", "source_id", "signing_team_id",
         "contract_type", "expiry_status", "total_value_cents", "is_entry_level",
     )
     years = t["contract_seasons"].select("contract_id", "season_start_year", (F.col("season_start_year") - 1990).alias("season_no"), "owning_team_id", "cap_hit_cents", "is_slide")
     caps = t["seasons"].select(F.col("start_year").alias("season_start_year"), "salary_cap_cents")
-    rows = years.join(deals, "contract_id").join(caps, "season_start_year").drop("contract_id")
-    stored = C.active_ids(rows).select("source_id", "external_id", "is_entry_level").distinct().filter("not is_entry_level")
-    known = lg.tables("contracts")["contracts"].limit(0).unionByName(
-        C.number_rows(stored.drop("is_entry_level"), "id", 1, ["external_id"]), allowMissingColumns=True
-    )
-    plan, _ = C.plan_active(staged(rows, "active"), known, t["contract_seasons"].limit(0), 1_000_000_000)
-    return plan.groupBy("start_season").agg(
-        F.count(F.lit(1)).alias("contracts"), F.sum("average_value_cents").alias("average"), F.sum("term_years").alias("term"),
-        F.count_if(F.col("_action") == "created").alias("created"),
-    )
+    rows = staged(years.join(deals, "contract_id").join(caps, "season_start_year").drop("contract_id"), "active")
+    stored = C.active_ids(rows).filter("not is_entry_level").select("source_id", "external_id").distinct()
+    known = t["contracts"].unionByName(C.number_rows(stored, "id", 2_000_000_000, ["external_id"]), allowMissingColumns=True)
+    return C.plan_active(rows, staged(known, "known"), t["contract_seasons"], 3_000_000_000)
+
+
+_ACTIVE = """SELECT c.player_id, min(s.season_start_year) AS start_season, max(s.season_start_year) AS end_season, count(*) AS term_years, any_value(c.average_value_cents) AS average_value_cents,
+    c.is_entry_level, CASE WHEN c.is_entry_level THEN 'created' ELSE 'updated' END AS action FROM contract_seasons s JOIN contracts c ON c.id = s.contract_id GROUP BY c.id, c.player_id, c.is_entry_level"""
+
+
+@query(f"{_ACTIVE} UNION ALL SELECT player_id, start_season, end_season, term_years, average_value_cents, is_entry_level, 'kept' FROM contracts")
+def active_snapshot_contracts(lg):
+    """The contract plan of an active snapshot, row by row."""
+    plan, _ = _active_plans(lg)
+    return plan.select("player_id", "start_season", "end_season", "term_years", "average_value_cents", "is_entry_level", F.col("_action").alias("action"))
+
+
+@query("""SELECT season_start_year, owning_team_id, cap_hit_cents, is_slide, action FROM contract_seasons, (VALUES ('created'), ('kept')) v(action)""")
+def active_snapshot_seasons(lg):
+    """The season plan of the same snapshot: its seasons are new, the stored ones stay."""
+    _, plan = _active_plans(lg)
+    return plan.select("season_start_year", "owning_team_id", "cap_hit_cents", "is_slide", F.col("_action").alias("action"))
 
 
 # --- identity --------------------------------------------------------------------------------------
@@ -451,7 +475,7 @@ _STINT = {
         UNION ALL SELECT player_id, season_start_year, team_id, games_played, 0 FROM goalie_season_stats WHERE game_type = 2 AND stat_scope = 'TEAM' AND source_id = 1
         UNION ALL SELECT player_id, season_start_year, team_id, games_played, 1 FROM skater_advanced_season_stats WHERE situation = 'all' AND stat_scope = 'TEAM'
         UNION ALL SELECT player_id, season_start_year, team_id, games_played, 1 FROM goalie_advanced_season_stats WHERE situation = 'all' AND stat_scope = 'TEAM'""",
-    "canonical": """SELECT DISTINCT ON (player_id, season_start_year) player_id, season_start_year, team_id FROM candidates WHERE season_start_year >= 1997
+    "canonical": """SELECT DISTINCT ON (player_id, season_start_year) player_id, season_start_year, team_id FROM candidates
         ORDER BY player_id, season_start_year, pri, games_played DESC NULLS LAST, team_id""",
     "missing": "SELECT * FROM canonical WHERE (player_id, season_start_year) NOT IN (SELECT (player_id, season_start_year) FROM player_team_stints WHERE departed_on IS NULL)",
 }
@@ -459,19 +483,19 @@ _STINT = {
 
 @query("SELECT player_id, season_start_year, team_id FROM canonical", **_STINT)
 def canonical_season_teams(lg):
-    return R.canonical_teams(R.stint_candidates(lg.tables(*STINTS), 1997))
+    return R.canonical_teams(R.stint_candidates(lg.tables(*STINTS)))
 
 
 @query("SELECT player_id, season_start_year, team_id FROM missing", **_STINT)
 def missing_stints(lg):
     t = lg.tables(*STINTS)
-    return R.missing_stints(R.canonical_teams(R.stint_candidates(t, 1997)), t["player_team_stints"].filter("departed_on is null"))
+    return R.missing_stints(R.canonical_teams(R.stint_candidates(t)), t["player_team_stints"].filter("departed_on is null"))
 
 
 @query("SELECT (SELECT count(*) FROM canonical) AS canonical_assignments, (SELECT count(*) FROM missing) AS missing_assignments", **_STINT)
 def stint_repair_counts(lg):
     t = lg.tables(*STINTS)
-    canonical = staged(R.canonical_teams(R.stint_candidates(t, 1997)), "canonical")
+    canonical = staged(R.canonical_teams(R.stint_candidates(t)), "canonical")
     return R.stint_counts(canonical, R.missing_stints(canonical, t["player_team_stints"].filter("departed_on is null")))
 
 

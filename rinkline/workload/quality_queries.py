@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,17 +140,31 @@ def cap_share_violations(lg):
 _NAMES = ["players", "player_team_stints", "contracts", "contract_seasons", "ltir_overrides", "skater_season_stats", "player_external_ids", "seasons", "teams", "data_sources"]
 
 
-@query("""SELECT "table", rule, violations FROM (VALUES ('contracts', 'foreign key player_id', (SELECT count(DISTINCT player_id) FROM contracts WHERE player_id NOT IN (SELECT id FROM players))),
-    ('contracts', 'unique source_external_id', 0), ('player_team_stints', 'check valid_dates', (SELECT count(*) FROM player_team_stints WHERE departed_on < joined_on)),
-    ('player_team_stints', 'unique identity', 0), ('player_team_stints', 'foreign key player_id', (SELECT count(DISTINCT player_id) FROM player_team_stints WHERE player_id NOT IN (SELECT id FROM players))),
-    ('player_team_stints', 'foreign key season_start_year', 0), ('player_team_stints', 'foreign key team_id', 0),
-    ('ltir_overrides', 'check valid_dates', 0), ('ltir_overrides', 'foreign key player_id', (SELECT count(DISTINCT player_id) FROM ltir_overrides WHERE player_id NOT IN (SELECT id FROM players))),
-    ('contracts', 'check valid_seasons', 0), ('contracts', 'check positive_term', 0), ('contracts', 'check valid_expiry_status', 0), ('contracts', 'check nonnegative_value', 0), ('contracts', 'check nonnegative_average', 0),
-    ('contracts', 'foreign key signing_team_id', (SELECT count(DISTINCT signing_team_id) FROM contracts WHERE signing_team_id NOT IN (SELECT id FROM teams)))) v("table", rule, violations)""")
+_CONSTRAINED = ["players", "teams", "seasons", "contracts", "player_team_stints", "ltir_overrides"]
+
+
+def _constraint_sql() -> str:
+    """A counting query for every declared rule of the tables; columns that the order tables don't give are null."""
+    parts = []
+    for name in _CONSTRAINED:
+        columns = [c.split()[:2] for c in re.split(r",\s*(?![^()<>]*[)>])", schemas.TABLES[name]) if c.strip()]
+        empty = ", ".join(f"CAST(NULL AS {kind}) AS {column}" for column, kind in columns)
+        table = f"(SELECT * FROM {name} UNION ALL BY NAME SELECT {empty} WHERE false)"
+        for check, rule in schemas.CHECKS.get(name, []):
+            parts.append((name, f"check {check}", f"SELECT count(*) FILTER (WHERE NOT ({rule})) FROM {table}"))
+        for key in schemas.UNIQUE_KEYS.get(name, []):
+            known = " AND ".join(f"({e}) IS NOT NULL" for e in key.exprs)
+            twins = f"SELECT 1 FROM {table} WHERE {key.where} AND {known} GROUP BY {', '.join(key.exprs)} HAVING count(*) > 1"
+            parts.append((name, f"unique {key.name}", f"SELECT count(*) FROM ({twins})"))
+        for column, parent, of in schemas.FOREIGN_KEYS.get(name, []):
+            if parent in _CONSTRAINED:
+                parts.append((name, f"foreign key {column}", f"SELECT count(DISTINCT {column}) FROM {table} WHERE {column} NOT IN (SELECT {of} FROM {parent})"))
+    return " UNION ALL ".join(f"""SELECT '{t}' AS "table", '{rule}' AS rule, ({sql}) AS violations""" for t, rule, sql in parts)
+
+
+@query(_constraint_sql())
 def constraint_report(lg):
-    t = lg.tables("contracts", "player_team_stints", "ltir_overrides", "players", "teams", "seasons")
-    report = Q.constraint_report(t)
-    return report.filter("table in ('contracts', 'player_team_stints', 'ltir_overrides') and rule not in ('foreign key start_season', 'foreign key end_season')")
+    return Q.constraint_report(lg.tables(*_CONSTRAINED))
 
 
 @query("""SELECT user_id, event_type, count(*) AS rows FROM events GROUP BY 1, 2 HAVING count(*) > 1""")
@@ -246,6 +262,10 @@ def stat_feed_pages(lg):
     return feeds.stats_pages(stat_payloads(lg))
 
 
+#: A roster holds about 30 persons, however many there are: each nation's are parted by ranges of 750 ids.
+_PERSONS = "c_custkey div 750"
+
+
 @query("""SELECT c_nationkey::VARCHAR AS team, c_custkey::VARCHAR AS external_id, 'First Last ' || c_custkey AS name, CASE WHEN c_mktsegment = 'BUILDING' THEN 'D' WHEN c_mktsegment = 'MACHINERY' THEN 'G' ELSE 'RW' END AS position,
     'CAN' AS nationality, '1990-01-02' AS birth_date FROM customer""")
 def roster_feed_players(lg):
@@ -256,7 +276,7 @@ def roster_feed_players(lg):
         F.when(segment == "BUILDING", "D").otherwise("r, c").alias("positionCode"), F.lit("L").alias("shootsCatches"), F.lit("can").alias("birthCountry"),
     )
     pick = lambda name, rule: F.collect_list(F.when(rule, person)).alias(name)
-    rosters = lg.raw("customer").groupBy(F.col("c_nationkey").cast("string").alias("team")).agg(
+    rosters = lg.raw("customer").groupBy(F.col("c_nationkey").cast("string").alias("team"), F.expr(_PERSONS).alias("part")).agg(
         pick("forwards", ~segment.isin("BUILDING", "MACHINERY")), pick("defensemen", segment == "BUILDING"), pick("goalies", segment == "MACHINERY")
     )
     payloads = rosters.select("team", F.to_json(F.struct("forwards", "defensemen", "goalies")).alias("body"))
@@ -282,8 +302,8 @@ def schedule_feed_games(lg):
 @query("""SELECT c_custkey::VARCHAR AS external_id, c_name AS full_name, CASE WHEN c_acctbal >= 0 THEN '1999-09-09' END AS birth_date FROM customer""")
 def minor_roster_players(lg):
     entry = F.struct(F.struct(F.col("c_custkey").alias("player_id"), F.col("c_name").alias("name"), F.when(F.col("c_acctbal") >= 0, "1999-09-09").otherwise("soon").alias("birthdate")).alias("row"))
-    sections = lg.raw("customer").groupBy("c_nationkey", "c_mktsegment").agg(F.collect_list(entry).alias("data"))
-    groups = sections.groupBy("c_nationkey").agg(F.collect_list(F.struct("data")).alias("sections"))
+    sections = lg.raw("customer").groupBy("c_nationkey", "c_mktsegment", F.expr(_PERSONS).alias("part")).agg(F.collect_list(entry).alias("data"))
+    groups = sections.groupBy("c_nationkey", "part").agg(F.collect_list(F.struct("data")).alias("sections"))
     payloads = groups.select("c_nationkey", F.to_json(F.struct(F.array(F.struct("sections")).alias("roster"))).alias("body"))
     return feeds.minor_roster_players(payloads).select("external_id", "full_name", "birth_date")
 
@@ -299,11 +319,10 @@ def index_feed_players(lg):
     return feeds.index_players(lg.raw("customer").select(cells.alias("cells"))).select("slug", "name", "team", "birth_date")
 
 
-@query("""SELECT id, coalesce(team_id, 0) AS team, stat_scope, games_played, goals, round(shots * 60.0, 6) AS ice, CASE WHEN goals > 3 THEN goals::VARCHAR END AS extra_goals FROM (
-    SELECT *, row_number() OVER () FROM skater_season_stats WHERE game_type = 2 AND source_id = 1)""")
+@query("""SELECT id, coalesce(team_id, 0) AS team, stat_scope, games_played, goals, round(shots * 60.0, 6) AS ice, CASE WHEN goals > 3 THEN goals::VARCHAR END AS extra_goals FROM skater_season_stats""")
 def advanced_feed_rows(lg):
     """Text rows of an advanced feed to typed rows with scope and long tail."""
-    s = lg.tables("skater_season_stats")["skater_season_stats"].filter("game_type = 2 and source_id = 1")
+    s = lg.tables("skater_season_stats")["skater_season_stats"]
     code = F.when(F.col("team_id").isNotNull(), F.translate(F.lpad(F.col("team_id").cast("string"), 4, "0"), "0123456789", "ABCDEFGHIJ")).otherwise("TOT")
     raw = s.select(
         F.col("id").cast("string").alias("playerId"), F.col("season_start_year").cast("string").alias("season"), F.lit("Some One").alias("name"), F.lower(code).alias("team"),

@@ -42,7 +42,7 @@ def compare(spark, con, folder, name, fn, sql):
     got = df.collect()
     took = time.time() - start
     if sql is None:
-        return True, f"{took:6.2f}s rows={len(got)} (no oracle)"
+        return False, f"{took:6.2f}s rows={len(got)} (no oracle)"
     cur = con.execute(sql)
     names = [d[0] for d in cur.description]
     want = cur.fetchall()

@@ -1,19 +1,14 @@
-"""Registered queries against DuckDB; RINKLINE_ALL=1 runs every one of them."""
-
-import os
+"""Every registered query against its DuckDB twin on the smallest tables."""
 
 import oracle
 import pytest
 
 import __spark_entry__ as entry
 
-FOLDER = os.environ.get("RINKLINE_DATA", "/root/testdata/sf0.001")
-SOME = [
-    "player_season_summary", "replacement_level_large_path", "team_cap_sheets", "contract_page_outcomes", "reconciliation_decisions",
-    "roster_decisions", "stat_merge_plan", "last_row_per_grain", "above_replacement", "season_and_date_parsing",
-]
-NAMES = sorted(entry.queries()) if os.environ.get("RINKLINE_ALL") else SOME
-pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables here")
+FOLDER = "/root/testdata/sf0.001"
+#: Queries whose result SQL can't give: boosted trees are tested on a small fixture instead.
+WITHOUT_TWIN = {"trained_model_metrics", "scored_predictions"}
+LIBRARY = {n: q for n, q in entry.queries().items() if not getattr(q, "__module__", "").startswith("rinkline.llm")}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +16,11 @@ def con():
     return oracle.connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_query(spark, con, name):
-    ok, message = oracle.compare(spark, con, FOLDER, name, entry.queries()[name], entry.oracle_sql().get(name))
+def test_every_query_has_a_twin():
+    assert set(LIBRARY) - set(entry.oracle_sql()) == WITHOUT_TWIN
+
+
+@pytest.mark.parametrize("name", sorted(set(LIBRARY) - WITHOUT_TWIN))
+def test_query_equals_its_twin(spark, con, name):
+    ok, message = oracle.compare(spark, con, FOLDER, name, LIBRARY[name], entry.oracle_sql()[name])
     assert ok, message
