@@ -166,13 +166,6 @@ def touched(existing: DataFrame, incoming: DataFrame, partition: str) -> DataFra
     return existing.filter(F.col(partition).isin([v for v in found if v is not None]))
 
 
-def append_absent(rows: DataFrame, path: str) -> int:
-    """Append insert-only rows; returns how many."""
-    stored = staged(rows, "append")
-    stored.write.mode("append").parquet(path)
-    return stored.count()
-
-
 # --- run ledger -----------------------------------------------------------------
 
 # fixed values: summary entries that describe a run but are not records

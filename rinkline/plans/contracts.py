@@ -80,10 +80,8 @@ def player_contracts(
     if ids is not None:
         contracts = contracts.filter(F.col("player_id").isin(list(ids)))
     chosen = relevant_contracts(contracts, current)
-    years = tables["contract_seasons"]
-    if ids is not None:
-        keys = chosen.select(F.col("id").alias("contract_id"))
-        years = years.join(F.broadcast(keys), "contract_id", "left_semi")
+    # only the chosen contracts' seasons are gathered
+    years = tables["contract_seasons"].join(chosen.select(F.col("id").alias("contract_id")), "contract_id", "left_semi")
     club = tables["teams"].select(
         F.col("id").alias("signing_team_id"),
         F.struct(F.col("id"), "nhl_team_id", "abbreviation", "name", "city", "active").alias("signing_team"),
@@ -420,7 +418,7 @@ def scoped_seasons(
     wanted = targets.select("player_id", F.explode("missing_seasons").alias("season_start_year")).distinct()
     kept = (
         seasons.filter(F.col("season_start_year").between(first - LOOK_BACK, last))
-        .join(F.broadcast(years), "season_start_year")  # one row per season
+        .join(years, "season_start_year")
         .join(wanted.withColumn("_t", F.lit(True)), PLAYER_SEASON, "left")
         .withColumn("is_target", F.coalesce("_t", F.lit(False)))
         .drop("_t")
@@ -500,6 +498,15 @@ SEASON_FILL = {
 } | {"clauses": "old_unless_empty_json", "is_slide": "either"}
 
 
+def decide_history(seasons: DataFrame, contracts: DataFrame, contract_seasons: DataFrame) -> DataFrame:
+    """Parsed contracts with the stored one they match (null = new) and why they conflict (null = they don't)."""
+    matched = match_contracts(incoming_contracts(seasons), contracts)
+    clash = season_conflicts(seasons, matched, contract_seasons).withColumn("_clash", F.lit(True))
+    return matched.join(clash, ["player_id", "contract_no"], "left").withColumn(
+        "conflict", F.coalesce("conflict", F.when(F.col("_clash"), "cap hit"))
+    ).drop("_clash")
+
+
 def plan_history(
     seasons: DataFrame, contracts: DataFrame, contract_seasons: DataFrame, next_id: Column | int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -509,11 +516,7 @@ def plan_history(
     parsed ones; a contract in conflict is skipped whole. New contracts get
     ids from ``next_id`` on, in source-id order.
     """
-    matched = match_contracts(incoming_contracts(seasons), contracts)
-    clash = season_conflicts(seasons, matched, contract_seasons).withColumn("_clash", F.lit(True))
-    decided = matched.join(clash, ["player_id", "contract_no"], "left").withColumn(
-        "conflict", F.coalesce("conflict", F.when(F.col("_clash"), "cap hit"))
-    ).drop("_clash")
+    decided = decide_history(seasons, contracts, contract_seasons)
     accepted = decided.filter("conflict is null")
     fresh = number_rows(accepted.filter("contract_id is null").drop("contract_id"), "contract_id", next_id, ["source_id", "external_id"])
     known = accepted.filter("contract_id is not null").unionByName(fresh)

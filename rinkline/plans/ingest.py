@@ -96,7 +96,7 @@ def _stat_plan(tables: Mapping[str, DataFrame], rows: DataFrame, kind: str, adva
     grain = M.stat_grain(advanced)
     table = schemas.stat_table(kind, advanced)
     keyed = rows.withColumn("source_id", F.lit(source_id).cast("bigint")).withColumn("updated_at", F.current_timestamp())
-    one = first_per_key(keyed, grain, [F.col("_ord").desc()])
+    one = M.last_per_grain(keyed, grain)
     stored = M.touched(tables[table], one.select("season_start_year"), "season_start_year")
     return M.merge_stats(stored, one, kind, advanced)
 

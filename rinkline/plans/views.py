@@ -436,7 +436,7 @@ def search_players(tables: Mapping[str, DataFrame], query: str, limit: int) -> D
     order = [F.col("active").desc(), F.col("last_name"), F.col("first_name"), F.col("id")]
     top = found.orderBy(*order).limit(limit)
     keyed = top.select(F.col("id").alias("player_id"))
-    stints = tables["player_team_stints"].join(F.broadcast(keyed), "player_id", "left_semi")
+    stints = tables["player_team_stints"].join(keyed, "player_id", "left_semi")
     return player_identities({**tables, "players": top, "player_team_stints": stints}).orderBy(*order)
 
 

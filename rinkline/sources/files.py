@@ -65,7 +65,7 @@ def read_database(
         "lowerBound": str(lower),
         "upperBound": str(upper),
         "numPartitions": str(partitions),
-        "customSchema": schemas.TABLES[table].replace(" string", " STRING"),
+        "customSchema": schemas.TABLES[table],
     }
     return reader.options(**bounds, **options).load()
 

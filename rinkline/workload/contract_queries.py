@@ -227,13 +227,17 @@ def _parsed_history(lg) -> DataFrame:
     return years.join(deals, "contract_no")
 
 
-def _history(lg):
+def _history_input(lg):
     t = lg.tables("contracts", "contract_seasons", "seasons")
     wanted = lg.raw("customer").select(F.col("c_custkey").alias("player_id"), F.array(*[F.lit(y) for y in range(1995, 2001)]).cast("array<int>").alias("missing_seasons"))
     scoped = C.scoped_seasons(_parsed_history(lg), t["seasons"], wanted, 2000, 2002)
     known = t["contracts"].filter("not is_entry_level")
     stored = t["contract_seasons"].join(known.select(F.col("id").alias("contract_id")), "contract_id", "left_semi")
-    return C.plan_history(staged(scoped, "history"), known, stored, 1_000_000_000)
+    return staged(scoped, "history"), known, stored
+
+
+def _history(lg):
+    return C.plan_history(*_history_input(lg), 1_000_000_000)
 
 
 _HISTORY = {
@@ -249,7 +253,7 @@ _HISTORY = {
 
 @query("""SELECT contract_no, conflict, same = 1 AS known FROM decision""", **_HISTORY)
 def reconciliation_decisions(lg):
-    return _history(lg)[2].select("contract_no", "conflict", F.col("contract_id").isNotNull().alias("known"))
+    return C.decide_history(*_history_input(lg)).select("contract_no", "conflict", F.col("contract_id").isNotNull().alias("known"))
 
 
 @query("""SELECT CASE WHEN d.contract_type = 'ENTRY LEVEL' THEN 'created' ELSE 'updated' END AS action, count(*) AS contracts FROM decision d WHERE conflict IS NULL GROUP BY 1

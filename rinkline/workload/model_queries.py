@@ -162,12 +162,20 @@ def trained_model_metrics(lg):
     return M.regression_metrics(fitted.predict(rows).withColumn("split", split), M.TARGET, "ml_prediction", ["split"])
 
 
+_fitted: dict[tuple[str, str], M.Fitted] = {}
+
+
 def _scored(lg):
-    """Predictions for the newest season, whose next season lies beyond the data, by a model fitted on all known targets."""
+    """Predictions for the newest season, whose next season lies beyond the data, by a model fitted on all known targets.
+
+    The model is fitted once per session and folder.
+    """
     table = staged(X.above_replacement(dataset(lg)), "above")
-    known = staged(M.training_data(dataset(lg)), "targets")
+    at = (lg.spark.sparkContext.applicationId, lg.folder)
+    if at not in _fitted:
+        _fitted[at] = M.fit(staged(M.training_data(dataset(lg)), "targets"))
     newest = table.agg(F.max("season")).scalar()
-    return M.score(M.fit(known), table.filter(F.col("season") == newest), 3).drop("created_at")
+    return M.score(_fitted[at], table.filter(F.col("season") == newest), 3).drop("created_at")
 
 
 @query()

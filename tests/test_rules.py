@@ -4,12 +4,12 @@ import json
 from datetime import date
 
 import pytest
-from golden import tables
+from golden import GON, NOR, SUD, tables
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from rinkline import schemas
+from rinkline import schemas, session
 from rinkline.functions import dates as D
 from rinkline.functions import numbers as N
 from rinkline.functions import text as X
@@ -179,7 +179,7 @@ def test_csv(spark, tmp_path):
 
 def test_advanced_load_twice(spark, tmp_path):
     base = tables(spark)
-    raw = feed(spark, ("1001", "2024", "New, Guy", "AAA", "all", "10", "1200.5"), ("1002", "2024", "Other Guy", "TOT", "all", "12.0", "900"))
+    raw = feed(spark, ("1001", "2024", "New, Guy", "NOR", "all", "10", "1200.5"), ("1002", "2024", "Other Guy", "TOT", "all", "12.0", "900"))
     empty = {**base, "skater_advanced_season_stats": schemas.empty(spark, "skater_advanced_season_stats")}
     first = ingest.load_advanced_stats(empty, {"skater": raw}, expected_seasons=[2024])
     assert tuple(first.counts.first()) == (2, 0)
@@ -189,7 +189,7 @@ def test_advanced_load_twice(spark, tmp_path):
         files.write_table(plan.drop("_action"), folder, name)
         after[name] = files.read_table(spark, folder, name)
     stats = {r.stat_scope: r for r in after["skater_advanced_season_stats"].collect()}
-    assert stats["TEAM"].team_id == 101 and stats["TEAM"].ice_time_seconds == 1200.5
+    assert stats["TEAM"].team_id == NOR and stats["TEAM"].ice_time_seconds == 1200.5
     assert stats["TOTAL"].team_id is None and stats["TOTAL"].games_played == 12
     assert json.loads(stats["TEAM"].extra_metrics)["name"] is None
     again = ingest.load_advanced_stats(after, {"skater": raw}, expected_seasons=[2024])
@@ -201,13 +201,13 @@ def test_advanced_load_twice(spark, tmp_path):
 
 def test_basic_load_and_stints(spark):
     base = tables(spark)
-    line = {"playerId": 77, "skaterFullName": "First Last", "positionCode": "L", "teamAbbrevs": "AAA,BBB", "gamesPlayed": 5, "goals": 1, "assists": 2, "points": 3}
+    line = {"playerId": 77, "skaterFullName": "First Last", "positionCode": "L", "teamAbbrevs": "NOR,SUD", "gamesPlayed": 5, "goals": 1, "assists": 2, "points": 3}
     body = json.dumps({"data": [line], "total": 1})
     pages = spark.createDataFrame([("skater", 2025, 2, 0, body)], "kind string, season int, game_type int, page int, body string")
     load = ingest.load_basic_stats(base, pages)
     assert tuple(load.counts.first()) == (1, 0)
     stint = load.plans["player_team_stints"].first()
-    assert (stint.season_start_year, stint.team_id) == (2025, 102)
+    assert (stint.season_start_year, stint.team_id) == (2025, SUD)
     wrong = pages.withColumn("body", F.lit(json.dumps({"data": [{**line, "points": 4}], "total": 1})))
     with pytest.raises(Q.QualityError):
         ingest.load_basic_stats(base, wrong)
@@ -218,12 +218,12 @@ def test_basic_load_and_stints(spark):
 
 def test_schedule_load(spark):
     base = tables(spark)
-    game = {"id": 9, "gameType": 2, "awayTeam": {"abbrev": "AAA", "score": 1}, "homeTeam": {"abbrev": "NEW"}, "venue": {"default": "Rink"}, "gameState": "FINAL"}
+    game = {"id": 9, "gameType": 2, "awayTeam": {"abbrev": "NOR", "score": 1}, "homeTeam": {"abbrev": "NEW"}, "venue": {"default": "Rink"}, "gameState": "FINAL"}
     week = {"gameWeek": [{"date": "2025-10-01", "games": [game, {**game, "id": 10, "gameType": 1}]}]}
     pages = spark.createDataFrame([(1, json.dumps(week))], "page int, body string")
     load = ingest.load_schedule(base, pages, 2025, minimum_games=1)
     row = load.plans["games"].first()
-    assert (row.nhl_game_id, row.away_team_id, row.home_team_id, row.venue) == (9, 101, 104, "Rink")
+    assert (row.nhl_game_id, row.away_team_id, row.home_team_id, row.venue) == (9, NOR, GON + 1, "Rink")
     with pytest.raises(Q.QualityError):
         ingest.load_schedule(base, pages, 2025, minimum_games=2)
 
@@ -390,3 +390,56 @@ def test_metrics_tiers_and_gate(spark):
     now = rows(("mae", 1.2), ("rmse", 1.5), ("r2", 0.4))
     assert {r.metric for r in MO.metric_regressions(now, was).collect()} == {"rmse", "r2"}
     assert MO.prediction_frame(spark.createDataFrame([(1, 2025, -3.0), (2, 2025, 2.0)], "player_id int, target_season int, ml_prediction double")).orderBy("player_id").first().prediction == 0.0
+
+
+# --- readers and merges at the edges ------------------------------------------------------------
+
+
+def test_csv_files_must_agree_on_their_columns(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("playerId,team\n1,NOR\n", encoding="utf-8")
+    (tmp_path / "b.csv").write_text("playerId,team\n2,SUD\n", encoding="utf-8")
+    assert sorted(r[:2] for r in files.read_csv(spark, str(tmp_path)).collect()) == [("1", "NOR"), ("2", "SUD")]
+    (tmp_path / "c.csv").write_text("team,playerId\nSUD,3\n", encoding="utf-8")
+    with pytest.raises(Q.QualityError):
+        files.read_csv(spark, str(tmp_path))
+
+
+def test_touched_partitions_are_pruned_at_the_scan(spark, tmp_path):
+    path = str(tmp_path / "seasons")
+    spark.range(30).select("id", (F.col("id") % 10 + 2000).cast("int").alias("season")).write.partitionBy("season").parquet(path)
+    kept = M.touched(spark.read.parquet(path), spark.createDataFrame([(1, 2003), (2, 2007)], "id long, season int"), "season")
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    assert {r.season for r in kept.collect()} == {2003, 2007} and kept.count() == 6
+    assert "PartitionFilters: [season" in plan and "IN (2003,2007)" in plan
+
+
+def test_a_table_without_partitions_is_switched_whole(spark, tmp_path):
+    path = str(tmp_path / "t")
+    for rows in ([(1, "a")], [(1, "b"), (2, "c")]):
+        M.apply_merge(spark.createDataFrame(rows, "id int, v string").withColumn("_action", F.lit("created")), path)
+    assert sorted(tuple(r) for r in spark.read.parquet(path).collect()) == [(1, "b"), (2, "c")]
+    assert [p.name for p in tmp_path.iterdir()] == ["t"]
+
+
+def test_integers_are_not_rounded_and_infinities_count_as_missing(spark):
+    texts = ["12", "12.0", "12.5", "12.00000000001", "1e2", "", "x"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r[0] for r in df.select(N.parse_strict_integer(F.col("t"))).collect()] == [12, 12, None, None, 100, None, None]
+    bad = spark.createDataFrame([(float("inf"),), (float("nan"),), (2.5,)], "x double")
+    assert [r[0] for r in bad.select(N.finite(F.col("x"))).collect()] == [None, None, 2.5]
+
+
+def test_pages_are_read_without_shuffling_them(spark):
+    pages = spark.createDataFrame([(str(i), f"<article><table><tr><td>{i}</td></tr></table></article>") for i in range(20)], "key string, html string")
+    _, outcome = documents.page_contracts(pages)
+    plan = outcome._jdf.queryExecution().optimizedPlan().toString()
+    assert outcome.count() == 20
+    for line in plan.splitlines():
+        assert not ("Join" in line and "html" in line)
+
+
+def test_staging_needs_a_shared_folder(spark, monkeypatch):
+    monkeypatch.setattr(session, "_named", {})
+    monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
+    with pytest.raises(ValueError):
+        session.shared_folder(spark)
