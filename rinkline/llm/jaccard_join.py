@@ -21,11 +21,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache
-from math import ceil, exp
+from math import ceil, exp, log
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rinkline.llm.common import only_ids, staged, steps, texts_of
@@ -33,10 +33,14 @@ from rinkline.llm.components import components
 from rinkline.llm.count_tree import CountTree
 from rinkline.llm.words import mix, shingles_of, words_of
 
-#: Groups of the count vectors.
-GROUPS = 64
+#: Groups of the count vectors (powers of two): of a set below ``LARGE`` shingles and of a larger one. With few
+#: shingles a group the counts of unrelated sets differ enough for the bound to tell.
+GROUPS, LARGE, LARGE_GROUPS = 64, 1500, 1024
 #: Pairs with one left side that one task checks, about.
 PAIRS_A_TASK = 1000
+#: Shingles of a block that is searched in one piece, about (eight bytes each).
+BLOCK_SHINGLES = 2_000_000
+HOLDS, HOLDS_AND_ASKS, ASKS = 0, 1, 2
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
 
@@ -98,14 +102,19 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
+def counts_of(s: np.ndarray) -> np.ndarray:
+    """The point of a set: its shingles by group, that is by the first bits of their hashes."""
+    groups = GROUPS if len(s) < LARGE else LARGE_GROUPS
+    return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
+
+
 def measure(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, node, counts): size and identity of every text's set and its counts by group."""
+    """(doc_id, n, node, counts): size and identity of every text's set, and its point."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole):
-                rows = [(len(s), node_of(s), np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=GROUPS).astype("<i4").tobytes()) for s in sets_of(texts_of(batch), k)]
-                n, node, counts = zip(*rows, strict=True)
+                n, node, counts = zip(*((len(s), node_of(s), counts_of(s).astype("<i4").tobytes()) for s in sets_of(texts_of(batch), k)), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())], names=["doc_id", "n", "node", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, counts binary")
@@ -157,15 +166,8 @@ def meeting(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     return sent.repartition("place").sortWithinPartitions("place", "node").mapInArrow(meet, "place long, node long")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
-    """Those of ``pairs`` (a, b: nodes) that are similar enough by their whole sets.
-
-    Each text is fetched once per pair on the right and once per about
-    ``PAIRS_A_TASK`` pairs on the left, so a set with very many partners is
-    spread over tasks.
-    """
-    pairs = staged(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+def texts_of_nodes(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, k: int) -> DataFrame:
+    """(node, text) of the wanted nodes, each once, stored."""
     wanted = staged(wanted.join(nodes.select("node", F.col("rep").alias("doc_id")), "node"), "wanted")
     texts = only_ids(docs.select("doc_id", "text"), wanted.select("doc_id").distinct(), "doc_id", wanted.count())
 
@@ -176,8 +178,19 @@ def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: i
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), batch.column(1)], names=["node", "text"])
 
     # An id may stand on several texts: the set decides which one is meant.
-    texts = texts.mapInArrow(keyed, "node long, text string").join(wanted.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    texts = staged(texts, "texts")
+    texts = texts.mapInArrow(keyed, "node long, text string").join(wanted.select("node"), "node", "left_semi")
+    return staged(texts.dropDuplicates(["node"]), "texts")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Those of ``pairs`` (a, b: nodes) that are similar enough by their whole sets.
+
+    Each text is fetched once per pair on the right and once per about
+    ``PAIRS_A_TASK`` pairs on the left, so a set with very many partners is
+    spread over tasks.
+    """
+    pairs = staged(pairs, "pairs")
+    texts = texts_of_nodes(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), docs, nodes, k)
     share = pairs.groupBy("a").agg(F.ceil(F.count("*") / PAIRS_A_TASK).alias("shares"))
     dealt = pairs.join(share, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("shares")).alias("share"))
     left = dealt.select("a", "share").distinct().join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "share", F.lit(None).cast("long").alias("b"), "text")
@@ -215,39 +228,144 @@ def first_pairs(met: DataFrame, nodes: DataFrame) -> DataFrame:
     return often.groupBy("node").agg(F.max(F.struct("count", "hub"))["hub"].alias("a")).select("a", F.col("node").alias("b"))
 
 
-def tree_pairs(met: DataFrame, labels: DataFrame, nodes: DataFrame, measured: DataFrame, num: int, den: int) -> DataFrame:
-    """Pairs of nodes that meet, lie in different components so far and pass the count bound of the R-tree."""
+def tree_links(met: DataFrame, labels: DataFrame, nodes: DataFrame, measured: DataFrame, docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
+    """Links between nodes that meet and lie in different components so far, by way of R-trees over count vectors.
+
+    Nodes that meet, also by way of others, are a cluster, so that every pair is
+    looked at once and not at every place where it meets. A cluster is cut into bands of
+    size, and a band into blocks of bounded length: each task builds the tree of
+    one block and asks it for the partners of another block's points. First only the
+    points travel, and tell which nodes have a partner within the bound; then
+    the texts of those, and the partners are verified on the whole sets, but for pairs
+    that a block's links have joined by then.
+    """
     named = met.join(labels, "node", "left").select("place", "node", F.coalesce("root", "node").alias("label"))
-    apart = named.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("place")
-    rest = staged(named.join(apart, "place", "left_semi"), "apart")
-    points = rest.select("node").distinct().join(nodes, "node").select("node", F.col("rep").alias("doc_id"))
-    points = points.join(measured.select("doc_id", "node", "counts"), ["node", "doc_id"]).select("node", "counts").dropDuplicates(["node"])
+    apart = named.groupBy("place").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("node").alias("lead")).where("lo <> hi").select("place", "lead")
+    rest = staged(named.join(apart, "place").select("lead", "node", "label").distinct(), "apart")
+    clusters = components(rest.select(F.col("lead").alias("a"), F.col("node").alias("b")))
+    # A partner is at most den / num times as large: of the same band or the next one.
+    band = F.floor(F.log("n") / F.lit(log(den / num) * 1.000001)).cast("int")
+    points = rest.select("node", "label").distinct().join(clusters, "node").join(nodes, "node")
+    points = staged(points.select(F.col("root").alias("cluster"), band.alias("band"), "node", "label", "n", "rep"), "points")
+
+    counts = measured.select(F.col("doc_id").alias("rep"), "node", "counts").join(points.select("node", "rep"), ["node", "rep"], "left_semi").dropDuplicates(["node"])
+
+    def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block in _blocks(batches, lambda batch: ((None, np.frombuffer(c, dtype="<i4")) for c in batch.column(batch.num_columns - 1).to_pylist()), num, den):
+            if found := sorted(block.near()):
+                yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
+
+    dealt = _dealt(points, counts.select("node", "counts"))
+    close = staged(dealt.mapInArrow(near, "node long").distinct(), "close")
+    points = points.join(close, "node", "left_semi")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, rows, seen = None, [], set()
-        for batch in batches:
-            for p, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if p != place:
-                    yield from found(rows, seen)
-                    place, rows = p, []
-                rows.append(row)
-        yield from found(rows, seen)
-
-    def found(rows: list, seen: set) -> Iterator[pa.RecordBatch]:
-        if len(rows) < 2:
-            return
-        counts = np.array([np.frombuffer(r[2], dtype="<i4") for r in rows])
-        tree = CountTree(counts, num, den)
-        for i, (node, label, _) in enumerate(rows):
-            near = [rows[j][0] for j in tree.search(counts[i]) if rows[j][0] > node and rows[j][1] != label and (node, rows[j][0]) not in seen]
-            if near:
-                if len(seen) > 1_000_000:  # repeats only cost time; they are made distinct later
-                    seen.clear()
-                seen.update((node, x) for x in near)
-                yield pa.RecordBatch.from_arrays([pa.array([node] * len(near), pa.int64()), pa.array(near, pa.int64())], names=["a", "b"])
+        def sets(batch: pa.RecordBatch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            return ((s, counts_of(s)) for part in steps(batch) for s in sets_of(texts_of(part), k))
+
+        for block in _blocks(batches, sets, num, den):
+            if links := block.links():
+                yield _pairs(links)
+
+    dealt = _dealt(points, texts_of_nodes(points.select("node"), docs, nodes, k))
+    return staged(dealt.mapInArrow(search, "a long, b long"), "links")
+
+
+_KEY = ["cluster", "band", "asker", "holder"]
+
+
+def _dealt(points: DataFrame, payload: DataFrame) -> DataFrame:
+    """Rows (cluster, band, asker, holder, role, node, label, payload), each block together: a row holds, asks or does both."""
+    guests = points.withColumn("band", F.col("band") - 1)
+
+    def size(rows: DataFrame, name: str) -> DataFrame:
+        return rows.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(name))
+
+    blocks = size(points, "askers").join(size(points.unionByName(guests), "holders"), ["cluster", "band"])
+
+    def share(of: str) -> Column:
+        return F.pmod(F.xxhash64("node"), F.col(of))
 
-    full = rest.join(points, "node").select("place", "node", "label", "counts")
-    return full.repartition("place").sortWithinPartitions("place", "node").mapInArrow(search, "a long, b long").distinct()
+    def every(of: str) -> Column:
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.col(of) - 1))
+
+    columns = [*_KEY, "role", "node", "label"]
+    one = (F.col("askers") == 1) & (F.col("holders") == 1)
+    home = points.withColumn("home", F.lit(True)).unionByName(guests.withColumn("home", F.lit(False)))
+    role = F.when(one & F.col("home"), HOLDS_AND_ASKS).otherwise(HOLDS)
+    holding = home.join(blocks, ["cluster", "band"]).withColumns({"holder": share("holders"), "asker": every("askers"), "role": role}).select(*columns)
+    asking = points.join(blocks.where(~one), ["cluster", "band"]).withColumns({"asker": share("askers"), "holder": every("holders"), "role": F.lit(ASKS)}).select(*columns)
+    rows = holding.unionByName(asking).join(payload, "node").select(*columns, *[c for c in payload.columns if c != "node"])
+    return rows.repartition(*_KEY).sortWithinPartitions(*_KEY, "role")
+
+
+def _blocks(batches: Iterator[pa.RecordBatch], read, num: int, den: int) -> Iterator[Block]:
+    """The blocks of sorted rows one after the other; ``read`` gives the set (or None) and the point of each row of a batch."""
+    at, block = None, None
+    for batch in batches:
+        *keys, role, node, label = (batch.column(i).to_pylist() for i in range(len(_KEY) + 3))
+        for key, does, x, y, (s, point) in zip(zip(*keys, strict=True), role, node, label, read(batch), strict=True):
+            if key != at:
+                if block:
+                    yield block
+                at, block = key, Block(num, den)
+            block.add(does, x, y, s, point)
+    if block:
+        yield block
+
+
+def _pairs(links: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*links, strict=True)
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+class Block:
+    """Points that are held and points that ask; of a pair the smaller one asks, of equally large ones the one of smaller identity."""
+
+    def __init__(self, num: int, den: int):
+        self.num, self.den = num, den
+        self.held: list[tuple[int, int, np.ndarray | None, np.ndarray]] = []
+        self.asking: list[tuple[int, int, np.ndarray | None, np.ndarray]] = []
+        self.up: dict[int, int] = {}
+
+    def add(self, role: int, node: int, label: int, s: np.ndarray | None, point: np.ndarray) -> None:
+        row = (node, label, s, point)
+        if role != ASKS:
+            self.held.append(row)
+        if role != HOLDS:
+            self.asking.append(row)
+
+    def root(self, label: int) -> int:
+        while (up := self.up.get(label, label)) != label:
+            self.up[label] = self.up.get(up, up)
+            label = up
+        return label
+
+    def pairs(self) -> Iterator[tuple[tuple, tuple]]:
+        """Asking and held points of different components whose bound reaches the similarity."""
+        if not self.held or not self.asking:
+            return
+        # Groups are ranges of hashes: a fine point folds to a coarse one where the block has both.
+        groups = min(len(x[3]) for x in self.held + self.asking)
+        tree = CountTree(np.array([h[3].reshape(groups, -1).sum(axis=1) for h in self.held]), self.num, self.den)
+        for one in self.asking:
+            n = one[3].sum()
+            for j in tree.search(one[3].reshape(groups, -1).sum(axis=1)):
+                other = self.held[j]
+                if (n, one[0]) < (other[3].sum(), other[0]) and self.root(one[1]) != self.root(other[1]):
+                    yield one, other
+
+    def near(self) -> set[int]:
+        return {x[0] for pair in self.pairs() for x in pair}
+
+    def links(self) -> list[tuple[int, int]]:
+        out = []
+        for one, other in self.pairs():
+            shared = len(np.intersect1d(one[2], other[2], assume_unique=True))
+            if shared * self.den >= self.num * (len(one[2]) + len(other[2]) - shared):
+                out.append((one[0], other[0]))
+                self.up[self.root(other[1])] = self.root(one[1])
+        return out
 
 
 def similar_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -> DataFrame:
@@ -267,11 +385,9 @@ def similar_groups(docs: DataFrame, k: int = 4, num: int = 85, den: int = 100) -
     first = staged(first_pairs(met, nodes), "first")
     links = verified(first, docs, nodes, k, num, den)
     labels = staged(components(links), "labels")
-    more = tree_pairs(met, labels, nodes, measured, num, den)
-    tried = first.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    more = staged(more.join(tried, ["a", "b"], "left_anti"), "more")
+    more = tree_links(met, labels, nodes, measured, docs, k, num, den)
     if not more.isEmpty():
-        labels = staged(components(links.unionByName(verified(more, docs, nodes, k, num, den))), "labels")
+        labels = staged(components(links.unionByName(more)), "labels")
     rooted = nodes.join(labels, "node", "left").select("node", "rep", F.coalesce("root", "node").alias("root"))
     least = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
     named = rooted.join(least, "root").select("node", "component_id")

@@ -28,7 +28,7 @@ def texts(seed):
     rng = random.Random(seed)
     vocabulary = [f"w{i}" for i in range(60)]
     out = []
-    for size in (6, 7, 8, 9, 10, 12, 15, 20, 33, 65, 130, 300):
+    for size in (6, 7, 8, 9, 10, 12, 15, 20, 33, 65, 130, 300, 1450, 1550):
         for _ in range(2):
             base = [rng.choice(vocabulary) for _ in range(size)]
             out += [" ".join(edited(rng, base, vocabulary, rng.choice([0, 0, 1, 1, 2, 3, 4]))) for _ in range(10)]
@@ -105,3 +105,16 @@ def test_components_of_long_chain_star_and_repeats(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**dict.fromkeys(range(201), 0), **dict.fromkeys(range(1000, 1100), 1000)}
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
+
+
+def test_blocks_ask_each_other_and_fold_points(monkeypatch, spark):
+    """The same groups when every block holds a handful of sets, with coarse and fine points in one block."""
+    from rinkline.llm import jaccard_join as J
+
+    monkeypatch.setattr(J, "BLOCK_SHINGLES", 3000)
+    rng = random.Random(11)
+    base = [f"b{i}" for i in range(1510)]
+    fixture = {i: " ".join(w for j, w in enumerate(base) if j not in range(i * 35, i * 35 + rng.randrange(60, 130))) for i in range(40)}
+    df = spark.createDataFrame(list(fixture.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df, 4, 94, 100).collect()}
+    assert got == brute.components(fixture, 4, 94, 100)
