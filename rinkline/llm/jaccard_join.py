@@ -33,9 +33,9 @@ from rinkline.llm.components import components
 from rinkline.llm.count_tree import CountTree
 from rinkline.llm.words import mix, shingles_of, words_of
 
-#: Groups of the count vectors (powers of two): of a set below ``LARGE`` shingles and of a larger one. With few
-#: shingles a group the counts of unrelated sets differ enough for the bound to tell.
-GROUPS, LARGE, LARGE_GROUPS = 64, 1500, 1024
+#: Groups of the count vectors (powers of two) of sets from so many shingles on: the more groups, the more the counts
+#: of unrelated sets differ, which by the bound tells them apart from about one group for every ten shingles on.
+GROUPS = ((0, 64), (250, 256), (2500, 1024))
 #: Pairs with one left side that one task checks, about.
 PAIRS_A_TASK = 1000
 #: Shingles of a block that is searched in one piece, about (eight bytes each).
@@ -104,7 +104,7 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
 
 def counts_of(s: np.ndarray) -> np.ndarray:
     """The point of a set: its shingles by group, that is by the first bits of their hashes."""
-    groups = GROUPS if len(s) < LARGE else LARGE_GROUPS
+    groups = max(g for least, g in GROUPS if len(s) >= least)
     return np.bincount((s >> np.uint64(65 - groups.bit_length())).astype(np.int64), minlength=groups)
 
 
@@ -114,7 +114,7 @@ def measure(docs: DataFrame, k: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in steps(whole):
-                n, node, counts = zip(*((len(s), node_of(s), counts_of(s).astype("<i4").tobytes()) for s in sets_of(texts_of(batch), k)), strict=True)
+                n, node, counts = zip(*((len(s), node_of(s), counts_of(s).astype("<u4").tobytes()) for s in sets_of(texts_of(batch), k)), strict=True)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(counts, pa.binary())], names=["doc_id", "n", "node", "counts"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n long, node long, counts binary")
@@ -251,7 +251,7 @@ def tree_links(met: DataFrame, labels: DataFrame, nodes: DataFrame, measured: Da
     counts = measured.select(F.col("doc_id").alias("rep"), "node", "counts").join(points.select("node", "rep"), ["node", "rep"], "left_semi").dropDuplicates(["node"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, lambda batch: ((None, np.frombuffer(c, dtype="<i4")) for c in batch.column(batch.num_columns - 1).to_pylist()), num, den):
+        for block in _blocks(batches, lambda batch: ((None, np.frombuffer(c, dtype="<u4").astype(np.int64)) for c in batch.column(batch.num_columns - 1).to_pylist()), num, den):
             if found := sorted(block.near()):
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
 

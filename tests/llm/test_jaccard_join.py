@@ -113,8 +113,8 @@ def test_blocks_ask_each_other_and_fold_points(monkeypatch, spark):
 
     monkeypatch.setattr(J, "BLOCK_SHINGLES", 3000)
     rng = random.Random(11)
-    base = [f"b{i}" for i in range(1510)]
-    fixture = {i: " ".join(w for j, w in enumerate(base) if j not in range(i * 35, i * 35 + rng.randrange(60, 130))) for i in range(40)}
+    base = [f"b{i}" for i in range(330)]
+    fixture = {i: " ".join(w for j, w in enumerate(base) if j not in range(i * 5, i * 5 + rng.randrange(60, 130))) for i in range(40)}
     df = spark.createDataFrame(list(fixture.items()), "doc_id long, text string").repartition(4)
     got = {r.doc_id: (r.n_shingles, r.component_id) for r in similar_groups(df, 4, 94, 100).collect()}
     assert got == brute.components(fixture, 4, 94, 100)
