@@ -50,6 +50,17 @@ SENTENCES: dict[str, str] = {
     "reserved": "all rights reserved",
 }
 
+#: Sentences as published texts go on with them, with the identifiers that they stand for.
+WORDINGS: dict[str, str] = {
+    SENTENCES["mit_grant"] + " including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions": "mit_grant",
+    SENTENCES["mit_notice_kept"].replace("this permission notice", "this permission notice including the next paragraph"): "mit_notice_kept",
+    SENTENCES["as_is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement": "as_is",
+    SENTENCES["as_is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement": "as_is",
+    SENTENCES["gpl_free"] + " " + SENTENCES["gpl_v3_later"]: "gpl_free gpl_v3_later",
+    SENTENCES["gpl_free"] + " " + SENTENCES["gpl_v2_later"]: "gpl_free gpl_v2_later",
+    SENTENCES["isc_grant"].replace("and or distribute", "and distribute"): "isc_grant",
+}
+
 #: Licence, then the identifiers that must be found in this order (others may stand between).
 RULES: list[tuple[str, tuple[str, ...]]] = [
     ("mit", ("mit_grant", "mit_notice_kept")),
@@ -93,12 +104,24 @@ def normalised(sentence: Column) -> Column:
 
 
 def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Column:
-    """Identifiers of the known sentences of a text, in its order."""
-    known = SENTENCES if sentences is None else sentences
-    table = F.create_map(*[F.lit(x) for name, words in known.items() for x in (words, name)])
-    # A known sentence has a letter or digit and is short: anything else needs no normalising.
-    parts = F.filter(F.split(text, BREAK), lambda s: (F.length(s) > 0) & (F.length(s) <= LONGEST))
-    return F.filter(F.transform(parts, lambda s: F.element_at(table, normalised(s))), lambda i: i.isNotNull())
+    """Identifiers of the known sentences of a text, in its order.
+
+    A sentence is one part between breaks, or several in a row: a sentence that
+    is wrapped, or that has a colon in it, is found over the breaks, but not over
+    a blank line. What one part says by itself goes before what several say.
+    """
+    known = {words: name for name, words in (SENTENCES if sentences is None else sentences).items()}
+    if sentences is None:
+        known |= WORDINGS
+    longest = 4 * max(map(len, known))
+    # Normalised parts with a bar around each; what is empty or too long for a known sentence is a second bar, over which none goes.
+    parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), BREAK)
+    line = F.concat(F.lit("|"), F.array_join(F.transform(parts, lambda s: F.when(F.length(s) <= longest, normalised(s)).otherwise("")), "|"), F.lit("|"))
+    by_length = sorted(known, key=lambda words: (-len(words), words))
+    pattern = "|".join([*by_length, *(words.replace(" ", "[ |]") for words in by_length)])
+    found = F.regexp_extract_all(line, F.lit(f"[|]({pattern})(?=[|])"), F.lit(1))
+    table = F.create_map(*[F.lit(x) for words, name in known.items() for x in (words, name)])
+    return F.flatten(F.transform(found, lambda s: F.split(F.element_at(table, F.translate(s, "|", " ")), " ")))
 
 
 def matched_licences(ids: Column, rules: list[tuple[str, tuple[str, ...]]] | None = None) -> Column:
