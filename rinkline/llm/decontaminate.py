@@ -28,8 +28,8 @@ BITS, BLOCKS = 128, 8
 BLOCK_BITS = BITS // BLOCKS
 #: Two sets of weighted similarity 0.8 differ in 19.4 of 128 bits on average, with a deviation of 4.1.
 RADIUS = 31
-#: Items that are sent to every task at once (some hundred bytes each); a larger benchmark goes block by block.
-ITEMS_AT_ONCE = 20_000
+#: Items, and bytes of their texts, that are sent to every task at once; a larger benchmark goes block by block. A longer single item is a block.
+ITEMS_AT_ONCE, BYTES_AT_ONCE = 20_000, 16 << 20
 _VARIANTS = np.array([sum(1 << b for b in c) for r in range(RADIUS // BLOCKS + 1) for c in combinations(range(BLOCK_BITS), r)], dtype=np.uint16)
 
 
@@ -40,7 +40,9 @@ class Index(NamedTuple):
     counts: list[np.ndarray]
     known: np.ndarray  # all shingles, sorted
     weights: np.ndarray  # of the known shingles
-    new_weight: float  # of any other
+    new_weight: float  # of a shingle that one item or none holds
+    weighed: np.ndarray  # shingles of the whole benchmark that weigh otherwise, sorted
+    weighs: np.ndarray
     owner: np.ndarray  # items by known shingle: owner[first[i]:first[i + 1]]
     first: np.ndarray
     hashes: np.ndarray  # items x BLOCKS
@@ -58,8 +60,33 @@ def packed(sums: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.packbits(sums > 0, axis=1)).view(np.uint16)
 
 
-def build(ids: list, texts: list[str], k: int = K) -> Index:
-    """Index of items; an item without words can't be found. Weights fall with the number of items that hold a shingle."""
+def holders(benchmark: DataFrame, k: int = K) -> tuple[int, np.ndarray, np.ndarray]:
+    """(items with words, shingles that several of them hold, how many hold each), sorted, from the whole benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in steps(whole):
+                hashes, first = shingles_of(words_of(texts_of(batch)), k)
+                held = [np.unique(hashes[a:b]) for a, b in zip(first[:-1], first[1:], strict=True) if b > a]
+                own, n = np.unique(np.concatenate(held), return_counts=True) if held else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(own.view(np.int64)), pa.array(n, pa.int64()), pa.array(np.zeros(len(own), bool))], names=["shingle", "n", "total"])
+                yield pa.RecordBatch.from_arrays([pa.array([0], pa.int64()), pa.array([len(held)], pa.int64()), pa.array([True])], names=["shingle", "n", "total"])
+
+    counts = benchmark.select("text").mapInArrow(run, "shingle long, n long, total boolean").groupBy("total", "shingle").agg(F.sum("n").alias("n"))
+    table = counts.where("total OR n > 1").toArrow()
+    total, shingle, n = (np.asarray(table.column(c).to_numpy()) for c in ("total", "shingle", "n"))
+    total = total.astype(bool)
+    shared, by = shingle[~total].astype(np.int64).view(np.uint64), n[~total].astype(np.int64)
+    order = np.argsort(shared)
+    return int(n[total].sum()), shared[order], by[order]
+
+
+def build(ids: list, texts: list[str], k: int = K, held: tuple[int, np.ndarray, np.ndarray] | None = None) -> Index:
+    """Index of items; an item without words can't be found. Weights fall with the number of items that hold a shingle.
+
+    ``held`` (see ``holders``) has those numbers for the whole benchmark of which
+    these items are a block; a shingle that isn't in it is held by one item.
+    """
     words = words_of(pa.array(texts, pa.string()))
     hashes, first = shingles_of(words, k)
     used = [i for i in range(len(ids)) if first[i + 1] > first[i]]
@@ -70,8 +97,16 @@ def build(ids: list, texts: list[str], k: int = K) -> Index:
     order = np.argsort(flat, kind="stable")
     known, start = np.unique(flat[order], return_index=True)
     start = np.append(start, len(flat))
-    weights = 1 + np.log(max(len(used), 1) / np.maximum(np.diff(start), 1))
-    new_weight = 1 + np.log(max(len(used), 1))
+    number, by = len(used), np.diff(start)
+    weigh, weighed = known, by
+    if held is not None:
+        number, weigh, weighed = held
+        place = np.minimum(np.searchsorted(weigh, known), max(len(weigh) - 1, 0))
+        by = np.where(weigh[place] == known, weighed[place], 1) if len(weigh) else np.ones(len(known), np.int64)
+    weights = 1 + np.log(max(number, 1) / np.maximum(by, 1))
+    new_weight = 1 + np.log(max(number, 1))
+    # Shingles of other blocks weigh in the windows as their own items' do.
+    weigh_of = 1 + np.log(max(number, 1) / np.maximum(weighed, 1))
     lengths = np.array([words.first[i + 1] - words.first[i] for i in used], dtype=np.int64)
     sums = [(bits_of(s) * (c * weights[np.searchsorted(known, s)])[:, None]).sum(axis=0) for s, c in zip(shingles, counts, strict=True)]
     blocks = packed(np.array(sums)) if used else np.zeros((0, BLOCKS), np.uint16)
@@ -81,7 +116,14 @@ def build(ids: list, texts: list[str], k: int = K) -> Index:
         owner = np.repeat(np.arange(len(used)), len(_VARIANTS))
         by = np.argsort(value, kind="stable")
         table.append((value[by], owner[by]))
-    return Index(np.array([ids[i] for i in used]), lengths, shingles, counts, known, weights, new_weight, item[order], start, blocks, table)
+    return Index(np.array([ids[i] for i in used]), lengths, shingles, counts, known, weights, new_weight, weigh, weigh_of, item[order], start, blocks, table)
+
+
+def weight_of(index: Index, shingles: np.ndarray) -> np.ndarray:
+    if not len(index.weighed):
+        return np.full(len(shingles), index.new_weight)
+    at = np.minimum(np.searchsorted(index.weighed, shingles), len(index.weighed) - 1)
+    return np.where(index.weighed[at] == shingles, index.weighs[at], index.new_weight)
 
 
 def near(index: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -102,8 +144,7 @@ def near(index: Index, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def similarity(index: Index, item: int, window: np.ndarray) -> float:
     """Weighted Jaccard similarity (with repeats) of an item and a window's shingles."""
     own, counts = np.unique(window, return_counts=True)
-    at = np.minimum(np.searchsorted(index.known, own), len(index.known) - 1)
-    weight = np.where(index.known[at] == own, index.weights[at], index.new_weight)
+    weight = weight_of(index, own)
     theirs, their_counts = index.shingles[item], index.counts[item]
     place = np.minimum(np.searchsorted(theirs, own), len(theirs) - 1)
     matched = np.where(theirs[place] == own, np.minimum(counts, their_counts[place]), 0)
@@ -137,8 +178,7 @@ def matches(index: Index, shingles: np.ndarray, words: int, least: float, k: int
         starts = np.unique(np.concatenate([np.arange(a, b + 1) for a, b in zip(lo, hi, strict=True)]))
         base, stop = starts[0], min(starts[-1] + size, len(shingles))
         part = shingles[base:stop]
-        where = np.minimum(np.searchsorted(index.known, part), len(index.known) - 1)
-        weight = np.where(index.known[where] == part, index.weights[where], index.new_weight)
+        weight = weight_of(index, part)
         for chunk in range(0, len(starts), 4096):
             now = starts[chunk : chunk + 4096] - base
             a, b = now[0], min(now[-1] + size, len(part))
@@ -161,31 +201,36 @@ def contamination(docs: DataFrame, benchmark: DataFrame, least: float = SIMILARI
     nothing; items of fewer than k words are one shingle. Of equally similar windows the first is
     reported. Repeated documents are each reported, rows without doc_id with a
     null; repeated items likewise. Other columns are ignored. The items (text
-    and id) are read by the driver in blocks of ``ITEMS_AT_ONCE`` and every block is
-    held against all documents.
+    and id) are read by the driver in blocks of ``ITEMS_AT_ONCE`` items and
+    ``BYTES_AT_ONCE`` at most; every block is held against all documents, with
+    the weights of the whole benchmark.
     """
     items = benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text"))
-    parts, held = [], []
+    counts: list[tuple] = []
+    parts, held, size = [], [], 0
     for row in items.toLocalIterator():
+        more = len(row["text"].encode())
+        if held and (len(held) == ITEMS_AT_ONCE or size + more > BYTES_AT_ONCE):
+            # One block weighs by itself as the whole benchmark does.
+            counts = counts or [holders(items, k)]
+            parts.append(_against(docs, held, least, k, counts[0]))
+            held, size = [], 0
         held.append(row)
-        if len(held) == ITEMS_AT_ONCE:
-            parts.append(_against(docs, held, least, k))
-            held = []
-    if held or not parts:
-        parts.append(_against(docs, held, least, k))
+        size += more
+    parts.append(_against(docs, held, least, k, counts[0] if counts else None))
     out = parts[0]
     for part in parts[1:]:
         out = out.unionByName(part)
     return out
 
 
-def _against(docs: DataFrame, items: list, least: float, k: int) -> DataFrame:
+def _against(docs: DataFrame, items: list, least: float, k: int, held: tuple[int, np.ndarray, np.ndarray] | None) -> DataFrame:
     ids, texts = [r["item_id"] for r in items], [r["text"] for r in items]
     built: list[Index] = []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not built:
-            built.append(build(ids, texts, k))
+            built.append(build(ids, texts, k, held))
         index = built[0]
         for whole in batches:
             for batch in steps(whole):

@@ -78,6 +78,25 @@ def test_items_in_blocks_give_the_same(spark, monkeypatch):
     assert {(r.doc_id, r.item_id) for r in D.contamination(d, i).collect()} == one
 
 
+def test_similarity_does_not_depend_on_blocks(spark, monkeypatch):
+    rng = random.Random(8)
+    template = [f"t{i}" for i in range(12)]
+    items = [(i, " ".join(template + random_words(rng, 20))) for i in range(25)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        w[8] = "changed"
+        docs += [(2 * i, " ".join(random_words(rng, 30) + w)), (2 * i + 1, text)]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda: {(r.doc_id, r.item_id): r.similarity for r in D.contamination(d, i, least=0.5).collect()}
+    one = rows()
+    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 8)
+    assert len(one) >= 50 and rows() == pytest.approx(one)
+    monkeypatch.setattr(D, "ITEMS_AT_ONCE", 20_000)
+    monkeypatch.setattr(D, "BYTES_AT_ONCE", 700)
+    assert rows() == pytest.approx(one)
+
+
 def test_block_index_guarantees_the_radius():
     rng = np.random.default_rng(3)
     index = D.build(list(range(50)), [" ".join(f"v{x}" for x in rng.integers(0, 999, 30)) for _ in range(50)])
