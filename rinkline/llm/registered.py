@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from rinkline.llm import decontaminate, fixity, identifiers, jaccard_join, language, licences, mixing, neighbours, passages, token_files
+from rinkline.llm import bpe, collocations, decontaminate, fixity, identifiers, jaccard_join, language, licences, mixing, neighbours, passages, token_files, vector_codes
 from rinkline.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -135,6 +135,70 @@ def op10_hilbert_neighbours(spark: SparkSession, folder: str) -> DataFrame:
     return neighbours.nearest(vectors, vectors.where("vec_id % 20 = 0"), k=20)
 
 
+@query()
+def op11_bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    """Byte-level BPE ids of every document and what they decode to, as digests."""
+    return bpe.digests(table(spark, folder, "documents").select("doc_id", "text"))
+
+
+def _phrase_sql() -> str:
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    c = collocations
+    return f"""WITH texts AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), '{upper}', '{lower}') AS t FROM documents),
+    pieces AS (SELECT lang, unnest(string_split_regex(t, '[.,;:!?\\x0A-\\x0D]')) AS piece FROM texts),
+    cut AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM pieces),
+    totals AS (SELECT lang, CAST(sum(len(ws)) AS BIGINT) AS n FROM cut GROUP BY lang),
+    sizes AS (SELECT unnest(range(1, {c.LONGEST + 1})) AS k),
+    grams AS (SELECT lang, k, ws, unnest(range(1, len(ws) - k + 2)) AS i FROM cut, sizes),
+    f AS MATERIALIZED (SELECT lang, k, ws[i : i + k - 1] AS words, count(*) AS a FROM grams GROUP BY ALL HAVING count(*) >= {c.LEAST}),
+    cuts AS (SELECT lang, words, a, unnest(range(1, k)) AS split FROM f WHERE k > 1),
+    valued AS (SELECT c.*, l.a AS l, r.a AS r, CAST(2000000 * c.a::HUGEINT // (l.a + r.a) AS BIGINT) AS score
+               FROM cuts c JOIN f l ON l.lang = c.lang AND l.words = c.words[1 : split] JOIN f r ON r.lang = c.lang AND r.words = c.words[split + 1 :]),
+    lowest AS (SELECT * FROM valued QUALIFY row_number() OVER (PARTITION BY lang, words ORDER BY score, split) = 1),
+    inner_ AS (SELECT lang, words, a, k, unnest(range(2, k)) AS s FROM f WHERE k > 2),
+    inside AS (SELECT lang, words, a, s, unnest(range(1, k - s + 2)) AS i FROM inner_),
+    held AS (SELECT lang, words[i : i + s - 1] AS words, max(a) AS longer FROM inside GROUP BY ALL),
+    kept AS (SELECT lowest.*, array_to_string(words, ' ') AS phrase FROM lowest LEFT JOIN held USING (lang, words)
+             WHERE longer IS NULL OR {c.DEN} * longer::HUGEINT < {c.NUM} * a::HUGEINT)
+    SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+    FROM kept JOIN totals USING (lang) QUALIFY rank <= {c.TOP}"""
+
+
+@query(_phrase_sql())
+def op12_phrase_mining(spark: SparkSession, folder: str) -> DataFrame:
+    """The 2000 phrases of each language that stand out most, with their exact counts."""
+    return collocations.mine(table(spark, folder, "documents"))
+
+
+def _codes_sql() -> str:
+    v = vector_codes
+    steps = []
+    for i in range(v.ROUNDS + 1):
+        near = f"""near{i} AS MATERIALIZED (SELECT rn, p, min(CAST(xx - 2 * list_inner_product(x, y) + list_inner_product(y, y) AS BIGINT) * {v.ENTRIES} + e) AS m
+            FROM parts JOIN book{i} USING (p) GROUP BY rn, p)"""
+        sums = f"""sums{i} AS (SELECT p, m % {v.ENTRIES} AS e, pos, CAST(sum(x[pos]) AS BIGINT) AS s, count(*) AS c
+            FROM (SELECT p, m, x, unnest(range(1, len(x) + 1)) AS pos FROM near{i} JOIN parts USING (rn, p)) GROUP BY ALL)"""
+        book = f"""book{i + 1} AS MATERIALIZED (SELECT p, e, coalesce(z, y) AS y FROM book{i} LEFT JOIN
+            (SELECT p, e, list(CAST((s - (s % c + c) % c) // c AS DOUBLE) ORDER BY pos) AS z FROM sums{i} GROUP BY p, e) USING (p, e))"""
+        steps += [near] if i == v.ROUNDS else [near, sums, book]
+    return f"""WITH kept AS MATERIALIZED (SELECT row_number() OVER (ORDER BY vec_id) AS rn, vec_id, label, list_transform(embedding, lambda x: floor({v.SCALE} * x::DOUBLE)) AS v
+            FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    parts AS MATERIALIZED (SELECT rn, p, x, list_inner_product(x, x) AS xx FROM
+        (SELECT rn, p, v[p * (len(v) // {v.PARTS}) + 1 : (p + 1) * (len(v) // {v.PARTS})] AS x FROM kept, (SELECT unnest(range({v.PARTS})) AS p))),
+    book0 AS (SELECT p, rn - 1 AS e, x AS y FROM parts WHERE rn <= {v.ENTRIES}),
+    {", ".join(steps)},
+    coded AS (SELECT rn, string_agg(printf('%02x', m % {v.ENTRIES}), '' ORDER BY p) AS code, CAST(sum(m // {v.ENTRIES}) AS BIGINT) AS error FROM near{v.ROUNDS} GROUP BY rn),
+    digest AS (SELECT sha256(string_agg(array_to_string(y::BIGINT[], ','), ',' ORDER BY p, e)) AS codebooks_sha256 FROM book{v.ROUNDS})
+    SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256 FROM coded JOIN kept USING (rn), digest"""
+
+
+@query(_codes_sql())
+def op13_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    """Every vector's code of four bytes, its squared error and the error of its label."""
+    coded = vector_codes.encode(table(spark, folder, "embeddings"))
+    return vector_codes.with_label_errors(coded).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 @query(corpus_pipeline.ORACLE_SQL)
 def pipeline(spark: SparkSession, folder: str) -> DataFrame:
     """Language ID, near-copy removal, decontamination, mixing and token files over all documents."""
