@@ -47,6 +47,28 @@ def relevant_contracts(contracts: DataFrame, season: Column | int) -> DataFrame:
     return first_per_key(contracts, ["player_id"], order)
 
 
+def relevant_by_season(contracts: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` rows (player_id, season_start_year, ...) with ``relevant_id``, the player's relevant contract in that season.
+
+    As in ``relevant_contracts`` for each row's season, by one ordered sweep over a
+    player's contract starts and asked seasons: of the contracts that have begun
+    the one that ends last (then signed last, of highest id) is the answer while it
+    runs; once it has ended no contract runs, and the player's last one of all is
+    shown. One shuffle by player, no pairs of seasons and contracts. A contract
+    without both seasons is only shown where a player has no other.
+    """
+    spanned = F.col("start_season").isNotNull() & F.col("end_season").isNotNull()
+    deal = F.struct(spanned.alias("spanned"), F.col("end_season").alias("ends"), F.col("signed_on").alias("signed_on"), F.col("id").alias("id"))
+    starts = contracts.select("player_id", F.when(spanned, F.col("start_season")).alias("_at"), F.lit(0).alias("_asked"), deal.alias("_deal"))
+    rows = asked.select("player_id", F.col("season_start_year").alias("_at"), F.lit(1).alias("_asked"), F.struct(*asked.columns).alias("_row"))
+    events = starts.unionByName(rows, allowMissingColumns=True)
+    player = Window.partitionBy("player_id")
+    begun = F.max(F.when(F.col("_deal.spanned"), F.col("_deal"))).over(player.orderBy("_at", "_asked"))
+    swept = events.select("_asked", "_row", "_at", begun.alias("_begun"), F.max("_deal").over(player).alias("_last"))
+    shown = F.when(F.col("_begun.ends") >= F.col("_at"), F.col("_begun.id")).otherwise(F.col("_last.id"))
+    return swept.filter("_asked = 1").select("_row.*", shown.alias("relevant_id"))
+
+
 def season_structs(contract_seasons: DataFrame, teams: DataFrame) -> DataFrame:
     """(contract_id, seasons): the season rows of a contract as an array in season order."""
     club = teams.select(
@@ -127,6 +149,25 @@ def team_ledger(
     )
 
 
+def ledger_all_seasons(contracts: DataFrame, contract_seasons: DataFrame) -> DataFrame:
+    """``team_ledger`` of every season at once.
+
+    After contract seasons have met their player, everything happens within a
+    player: the relevant contract by a sweep, and how often a team lists the player.
+    """
+    owner = contracts.select(F.col("id").alias("contract_id"), "player_id")
+    rows = contract_seasons.filter("owning_team_id is not null").join(owner, "contract_id").select(
+        "player_id", "season_start_year", F.col("owning_team_id").alias("team_id"), "contract_id", "cap_hit_cents", "cap_percentage", "is_slide"
+    )
+    placed = relevant_by_season(contracts, rows)
+    listing = Window.partitionBy("player_id", "season_start_year", "team_id")
+    listed = placed.withColumn("_listed", F.count(F.lit(1)).over(listing)).filter(F.col("contract_id") == F.col("relevant_id"))
+    return listed.select(
+        "team_id", "player_id", "contract_id", "season_start_year", "cap_hit_cents", "cap_percentage", "is_slide",
+        F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("_listed"))).alias("_n"),
+    ).drop("_n")
+
+
 def team_caps(tables: Mapping[str, DataFrame], season: int | None = None, team_id: int | None = None) -> DataFrame:
     """Cap sheet of every team-season (or one): active, LTIR, buried minors, total, space.
 
@@ -507,14 +548,13 @@ def decide_history(seasons: DataFrame, contracts: DataFrame, contract_seasons: D
     ).drop("_clash")
 
 
-def plan_history(
+def history_rows(
     seasons: DataFrame, contracts: DataFrame, contract_seasons: DataFrame, next_id: Column | int
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Fill-only reconciliation of parsed seasons: (contract plan, season plan, decisions).
+    """What a fill-only reconciliation writes: (contracts by id, contract seasons, decisions).
 
-    ``seasons`` are scoped rows with resolved team ids. Stored values win over
-    parsed ones; a contract in conflict is skipped whole. New contracts get
-    ids from ``next_id`` on, in source-id order.
+    ``seasons`` are scoped rows with resolved team ids; a contract in conflict is
+    skipped whole. New contracts get ids from ``next_id`` on, in source-id order.
     """
     decided = decide_history(seasons, contracts, contract_seasons)
     accepted = decided.filter("conflict is null")
@@ -522,7 +562,6 @@ def plan_history(
     known = accepted.filter("contract_id is not null").unionByName(fresh)
     # two parsed contracts may match one stored contract: the first fills it
     first = first_per_key(known, ["contract_id"], [F.col("contract_no")])
-    contract_plan = merge_plan(contracts, first.withColumnRenamed("contract_id", "id"), ["id"], CONTRACT_FILL)
     rows = (
         seasons.filter("is_target")
         .join(known.select("player_id", "contract_no", "contract_id"), ["player_id", "contract_no"])
@@ -530,8 +569,24 @@ def plan_history(
         .withColumn("cap_percentage", cap_share(F.col("cap_hit_cents"), F.col("salary_cap_cents")))
     )
     one = first_per_key(rows, ["contract_id", "season_start_year"], [F.col("contract_no")])
-    season_plan = merge_plan(contract_seasons, one, ["contract_id", "season_start_year"], SEASON_FILL)
-    return contract_plan, season_plan, decided
+    return first.withColumnRenamed("contract_id", "id"), one, decided
+
+
+def fill_contracts(contracts: DataFrame, rows: DataFrame) -> DataFrame:
+    """Plan of a fill-only merge: stored values win over new ones."""
+    return merge_plan(contracts, rows, ["id"], CONTRACT_FILL)
+
+
+def fill_seasons(contract_seasons: DataFrame, rows: DataFrame) -> DataFrame:
+    return merge_plan(contract_seasons, rows, ["contract_id", "season_start_year"], SEASON_FILL)
+
+
+def plan_history(
+    seasons: DataFrame, contracts: DataFrame, contract_seasons: DataFrame, next_id: Column | int
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Fill-only reconciliation of parsed seasons: (contract plan, season plan, decisions); see ``history_rows``."""
+    deals, years, decided = history_rows(seasons, contracts, contract_seasons, next_id)
+    return fill_contracts(contracts, deals), fill_seasons(contract_seasons, years), decided
 
 
 def number_rows(df: DataFrame, column: str, start: Column | int, order: Sequence[str]) -> DataFrame:
@@ -603,10 +658,3 @@ def new_source_records(existing: DataFrame, records: DataFrame) -> DataFrame:
         "payload",
     )
     return insert_absent(existing, built, ["source_id", "entity_type", "external_key", "payload_hash"])
-
-
-def retained(violations: DataFrame, tables: Mapping[str, DataFrame], source_id: int) -> dict[str, int] | None:
-    """Counts of the last good snapshot when a feed is refused, else None (go on and merge)."""
-    if violations.isEmpty():
-        return None
-    return cached_summary(tables, source_id)

@@ -58,7 +58,7 @@ def advanced_stat_rows(raw: DataFrame, kind: str) -> DataFrame:
         F.left("situation", F.lit(24)).alias("situation"),
         *feeds.metric_columns(schemas.layout(kind, True), value),
         feeds.long_tail(raw, fields).alias("extra_metrics"),
-        X.row_hash(*fields).alias("source_row_hash"),
+        X.row_hash(raw.schema, *fields).alias("source_row_hash"),
     )
 
 
@@ -253,7 +253,21 @@ def load_schedule(
 # --- contracts --------------------------------------------------------------------------------------
 
 
-def load_history(
+def refresh_active(
+    tables: Mapping[str, DataFrame], people: DataFrame, parsed: DataFrame, violations: DataFrame, source_id: int = ACTIVE_SOURCE_ID
+) -> tuple[tuple[DataFrame, DataFrame] | None, dict[str, int]]:
+    """The active snapshot's plans and counts; a refused feed gives no plans and the counts of the last good snapshot.
+
+    Without a last good one a refused feed is an error.
+    """
+    if not violations.isEmpty():
+        return None, C.cached_summary(tables, source_id)
+    _, contract_plan, season_plan = load_active(tables, people, parsed, source_id)
+    counted = M.merge_counts(contract_plan).first()
+    return (contract_plan, season_plan), {"contracts": counted["records_created"] + counted["records_updated"]}
+
+
+def history_seasons(
     tables: Mapping[str, DataFrame],
     parsed: DataFrame,
     candidates: DataFrame,
@@ -261,18 +275,14 @@ def load_history(
     source_id: int,
     first: int = C.FIRST_SEASON,
     last: int = C.LAST_SEASON,
-) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Parsed page seasons (with player_id, nhl_id) to fill-only contract and season plans.
-
-    The plans are a preview until applied.
-    """
+) -> DataFrame:
+    """Parsed page seasons (with player_id, nhl_id) with ids, in scope of the candidates, teams resolved; stored."""
     rows = C.synthetic_ids(parsed, source_code)
     scoped = C.scoped_seasons(rows, tables["seasons"], candidates, first, last)
     lookup = I.team_lookup(tables["teams"])
     signed = I.resolve_teams(scoped, lookup, "signing_team", "signing_team_id")
     owned = I.resolve_teams(signed, lookup, "owning_team", "owning_team_id", tables["player_team_stints"])
-    ready = staged(owned.withColumn("source_id", F.lit(source_id).cast("bigint")), "history")
-    return C.plan_history(ready, tables["contracts"], tables["contract_seasons"], _next(tables["contracts"]))
+    return staged(owned.withColumn("source_id", F.lit(source_id).cast("bigint")), "history")
 
 
 def load_active(

@@ -171,25 +171,20 @@ def contract_pages(lg) -> DataFrame:
     )
     kind = F.col("contract_type")
     html = F.when(kind == "STANDARD", script).when(kind == "ONE_WAY", table).when(F.col("term_years") > 2, "<html><h1>Contract History</h1></html>").otherwise("<html>maintenance</html>")
-    return t.select(F.col("id").alias("key"), html.alias("html"))
-
-
-def stored_pages(lg) -> DataFrame:
-    """The pages as a stored table: parsing is the costly part, and is read by several branches."""
-    return staged(contract_pages(lg), "pages")
+    return t.select(F.col("id").alias("key"), "player_id", html.alias("html"))
 
 
 @query("""SELECT id AS key, season_start_year, cap_hit_cents, 100000 AS base_salary_cents, total_value_cents, term_years, signed_on::VARCHAR AS signed_on,
     CASE WHEN contract_type = 'STANDARD' THEN 'STANDARD' ELSE 'ONE_WAY Contract' END AS contract_type, CASE WHEN contract_type = 'STANDARD' THEN expiry_status END AS expiry_status
     FROM (SELECT c.*, s.season_start_year, s.cap_hit_cents FROM contracts c JOIN contract_seasons s ON s.contract_id = c.id) WHERE contract_type <> 'ENTRY LEVEL'""")
 def contract_page_seasons(lg):
-    seasons, _ = D.page_contracts(stored_pages(lg))
+    seasons, _ = D.page_contracts(contract_pages(lg))
     return seasons.select("key", "season_start_year", "cap_hit_cents", "base_salary_cents", "total_value_cents", "term_years", "signed_on", "contract_type", "expiry_status")
 
 
 @query("""SELECT id AS key, CASE WHEN contract_type <> 'ENTRY LEVEL' THEN 'ok' WHEN term_years > 2 THEN 'absent' ELSE 'failed' END AS status FROM contracts""")
 def contract_page_outcomes(lg):
-    return D.page_contracts(stored_pages(lg))[1]
+    return D.page_contracts(contract_pages(lg))[1]
 
 
 @query("""SELECT page_id AS key, CASE WHEN regexp_matches(html, 'Contract History|No recorded contracts', 'i') AND NOT regexp_matches(html, '<table', 'i') THEN 'absent' ELSE 'failed' END AS status FROM pages""")
@@ -206,7 +201,7 @@ def page_identity_matches(lg):
     wanted = t.select(F.col("id").alias("key"), "player_id").join(who, "player_id").withColumns(
         {"first_name": F.lit("No"), "last_name": F.lit("One"), "missing_seasons": F.array(F.lit(1999)).cast("array<int>")}
     )
-    pages = stored_pages(lg).withColumn("url", F.concat(F.lit("https://pages/players/p-"), F.col("key")))
+    pages = contract_pages(lg).withColumn("url", F.concat(F.lit("https://pages/players/p-"), F.col("key")))
     return D.matches_candidate(pages, wanted)
 
 

@@ -200,9 +200,10 @@ def guarded_rates(lg):
     )
 
 
-@query("""SELECT user_id, count(*) AS n, count(DISTINCT (event_type, value)) AS versions FROM events GROUP BY 1""")
+@query("""SELECT event_id, sha256('{"event_type":' || coalesce('"' || event_type || '"', 'null') || ',"props":' || coalesce('"' || replace(props, '"', chr(92) || '"') || '"', 'null')
+    || ',"ts":' || coalesce('"' || strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') || '"', 'null') || ',"user_id":' || coalesce(user_id::VARCHAR, 'null')
+    || ',"value":' || coalesce(rtrim(rtrim(printf('%.10f', value), '0'), '.'), 'null') || '}') AS row_hash FROM events""")
 def row_hashes(lg):
-    """Distinct row hashes per user equal its distinct rows."""
-    hashed = lg.raw("events").select("user_id", X.row_hash("user_id", "event_type", "value").alias("h"))
-    per_hash = hashed.groupBy("user_id", "h").agg(F.count(F.lit(1)).alias("n"))
-    return per_hash.groupBy("user_id").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("versions"))
+    """The hash of every event's canonical JSON, which another engine writes alike."""
+    events = lg.raw("events")
+    return events.select("event_id", X.row_hash(events.schema, "user_id", "event_type", "value", "props", "ts").alias("row_hash"))

@@ -17,6 +17,7 @@ from rinkline.operators import merge as M
 from rinkline.operators import quality as Q
 from rinkline.operators import quantiles
 from rinkline.operators.keyed import inside_interval
+from rinkline.plans import contracts as C
 from rinkline.plans import features as FE
 from rinkline.plans import ingest
 from rinkline.plans import model as MO
@@ -443,3 +444,52 @@ def test_staging_needs_a_shared_folder(spark, monkeypatch):
     monkeypatch.setattr(type(spark.conf), "get", lambda self, key, default=None: default)
     with pytest.raises(ValueError):
         session.shared_folder(spark)
+
+
+def test_canonical_json_is_what_other_engines_write(spark):
+    texts = ["plain", 'a "b" \\ c', "tab\tline\nfeed\r\b\f\x01\x1f\x7f", "ünï 中文 😀", "", None, "end\n"]
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(texts)], "b string, a int")
+    got = [r[0] for r in df.orderBy("a").select(X.canonical_json(df.schema, "b", "a")).collect()]
+    assert got == [json.dumps({"a": i, "b": t}, sort_keys=True, separators=(",", ":")) for i, t in enumerate(texts)]
+    row = spark.sql("SELECT 1e10D AS d, 2.5D AS e, CAST('NaN' AS double) AS f, 12.500 AS g, true AS h, DATE '2024-01-05' AS i, TIMESTAMP '2024-01-05 06:07:08.5' AS j, CAST(NULL AS int) AS k, -0.25D AS l")
+    text = row.select(X.canonical_json(row.schema, *row.columns)).first()[0]
+    assert text == '{"d":10000000000,"e":2.5,"f":null,"g":12.5,"h":true,"i":"2024-01-05","j":"2024-01-05T06:07:08.500000","k":null,"l":-0.25}'
+
+
+def test_pages_are_scanned_once_and_parsed_only_where_json_leaves_them(spark, tmp_path):
+    pages = [("json", json_page({"contracts": [{"details": [{"season": "2020-21", "capHit": "$1"}]}]})), ("table", TABLE_PAGE), ("none", "<p>x</p>")]
+    path = str(tmp_path / "pages")
+    spark.createDataFrame(pages, "key string, html string").write.parquet(path)
+    read = documents.read_pages(spark.read.parquet(path))
+    plan = read._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1 and "Exchange" not in plan and "Window" not in plan and "Join" not in plan
+    argument = next(line for line in plan.splitlines() if "ArrowEvalPython" in line)
+    assert "read_markup" in argument and read.count() == 3
+    seen = [r.markup for r in spark.read.parquet(path).select(documents.read_markup(F.when(F.col("key") != "json", F.col("html"))).alias("markup")).collect()]
+    assert sorted(m is None for m in seen) == [False, False, True]
+
+
+def test_contract_details_that_are_blank_or_broken(spark):
+    deal = lambda d: json_page({"contracts": [{"id": "x", **d}]})
+    good = {"season": "2020-21", "capHit": "$1"}
+    pages = [
+        ("no details", deal({})), ("empty details", deal({"details": []})), ("broken", '<script id="__NEXT_DATA__">{"props":</script>'), ("aliases", deal({"seasons": [{"SEASON ": "2020-21", "Cap Hit": "$2", "cap-hit": "$3"}]})),
+        ("second payload", json_page({"contracts": [{"details": [{"season": "x"}]}]}) + deal({"details": [good]})), ("bad term", deal({"term": "0", "details": [good]})), ("null", None),
+    ]
+    rows, outcome = documents.page_contracts(spark.createDataFrame(pages, "key string, html string"))
+    status = {r.key: r.status for r in outcome.collect()}
+    assert status == {"no details": "failed", "empty details": "failed", "broken": "failed", "aliases": "ok", "second payload": "ok", "bad term": "failed", "null": "failed"}
+    found = {r.key: (r.cap_hit_cents, r.term_years, r.contract_no, r.season_no) for r in rows.collect()}
+    assert found == {"aliases": (300, 1, 0, 0), "second payload": (100, 1, 0, 0)}
+
+
+def test_relevant_contract_of_every_season_equals_the_one_season_rule(spark):
+    deals = [(1, 1, 2000, 2002, date(1999, 1, 1)), (2, 1, 2001, 2005, None), (3, 1, 2001, 2005, date(2001, 1, 1)), (4, 1, 2003, 2005, date(2000, 1, 1)), (5, 1, 2010, 2010, None), (6, 2, 2004, 2006, None), (7, 2, 2004, 2006, None), (8, 3, None, 2030, None)]
+    contracts = spark.createDataFrame(deals, "id int, player_id int, start_season int, end_season int, signed_on date")
+    years = list(range(1998, 2013))
+    asked = spark.createDataFrame([(p, y) for p in (1, 2, 3, 4) for y in years], "player_id int, season_start_year int")
+    got = {(r.player_id, r.season_start_year): r.relevant_id for r in C.relevant_by_season(contracts, asked).collect()}
+    assert len(got) == 60 and got[3, 2001] == 8 and got[4, 2001] is None
+    for y in years:
+        for r in C.relevant_contracts(contracts, y).collect():
+            assert got[r.player_id, y] == r.id
