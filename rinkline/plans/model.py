@@ -7,12 +7,11 @@ import math
 from collections.abc import Mapping
 from typing import NamedTuple
 
-from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rinkline.operators.boosting import Booster, Settings
+from rinkline.operators.boosting import fit as boost
 from rinkline.operators.quality import QualityError, assert_frame, assert_none, grain_violations
 from rinkline.functions.numbers import finite
 from rinkline.operators.quantiles import group_quantiles, quantile_tiers
@@ -71,14 +70,17 @@ GATE_LIMITS = {
     "test": {"mae": 9.3361370822, "rmse": 13.2279709137, "r2": 0.5664511622},
 }
 SPLITS = ["train", "validation", "test"]
-MODEL_TYPE = "GBTRegressor"
+MODEL_TYPE = "skater_value"
 
 
 class Options(NamedTuple):
+    """Fixed values of the published model: step 0.05, 300 rounds, 31 leaves, L2 of 1; trees have no depth limit there."""
+
     step_size: float = 0.05
     iterations: int = 300
-    depth: int = 5
-    seed: int = 42
+    leaves: int = 31
+    l2: float = 1.0
+    depth: int | None = None
 
 
 # --- targets ---------------------------------------------------------------------------
@@ -154,32 +156,42 @@ def model_inputs(df: DataFrame, fills: Mapping[str, float | str]) -> DataFrame:
 
 
 class Fitted(NamedTuple):
-    model: PipelineModel
+    """Trees, the fills of their inputs and the position groups they know; of another group all indicators are 0."""
+
+    trees: Booster
     fills: dict[str, float | str]
+    groups: list[str]
 
     def predict(self, df: DataFrame) -> DataFrame:
-        scored = self.model.transform(model_inputs(df, self.fills))
-        return scored.drop("position_index", "position_vector", "features")
+        rows = with_indicators(model_inputs(df, self.fills), self.groups)
+        return rows.withColumn("ml_prediction", self.trees.predictor()).drop(*indicators(self.groups))
+
+    def to_json(self) -> str:
+        return json.dumps({"trees": self.trees.to_json(), "fills": self.fills, "groups": self.groups})
+
+    @classmethod
+    def from_json(cls, text: str) -> Fitted:
+        held = json.loads(text)
+        return cls(Booster.from_json(held["trees"]), held["fills"], held["groups"])
+
+
+def indicators(groups: list[str]) -> list[str]:
+    return [f"is_{g}" for g in groups]
+
+
+def with_indicators(df: DataFrame, groups: list[str]) -> DataFrame:
+    """One 0/1 column for each known position group."""
+    return df.withColumns({name: F.coalesce(F.col("position_group") == g, F.lit(False)).cast("double") for name, g in zip(indicators(groups), groups)})
 
 
 def fit(stored: DataFrame, options: Options = Options()) -> Fitted:
     """Fit on a stored frame: fills, one-hot position group, boosted trees."""
     fills = fill_values(stored)
-    stages = [
-        StringIndexer(inputCol="position_group", outputCol="position_index", handleInvalid="keep"),
-        OneHotEncoder(inputCol="position_index", outputCol="position_vector", dropLast=False),
-        VectorAssembler(inputCols=[*NUMERIC_FEATURES, "position_vector"], outputCol="features"),
-        GBTRegressor(
-            labelCol=TARGET,
-            predictionCol="ml_prediction",
-            stepSize=options.step_size,
-            maxIter=options.iterations,
-            maxDepth=options.depth,
-            seed=options.seed,
-            checkpointInterval=10,
-        ),
-    ]
-    return Fitted(Pipeline(stages=stages).fit(model_inputs(stored, fills)), fills)
+    rows = model_inputs(stored, fills)
+    groups = [r[0] for r in rows.select("position_group").distinct().orderBy("position_group").collect()]
+    settings = Settings(options.step_size, options.iterations, options.leaves, options.l2, depth=options.depth)
+    features = [*NUMERIC_FEATURES, *indicators(groups)]
+    return Fitted(boost(with_indicators(rows, groups), features, TARGET, settings), fills, groups)
 
 
 class Trained(NamedTuple):

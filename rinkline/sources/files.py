@@ -6,7 +6,6 @@ import csv
 import io
 import json
 
-from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -141,22 +140,3 @@ def write_predictions(df: DataFrame, path: str, fmt: str = "parquet") -> None:
         writer.option("header", True).csv(path)
     else:
         writer.parquet(path)
-
-
-def save_model(model: PipelineModel, metadata: dict, path: str) -> None:
-    """Model and metadata side by side; the metadata is validated before any write."""
-    from rinkline.plans.model import assert_metadata
-
-    assert_metadata(metadata)
-    spark = SparkSession.active()
-    model.write().overwrite().save(f"{path}/model")
-    row = spark.createDataFrame([(json.dumps(metadata, indent=2, sort_keys=True),)], "metadata string")
-    row.coalesce(1).write.mode("overwrite").parquet(f"{path}/metadata")
-
-
-def load_model(spark: SparkSession, path: str) -> tuple[PipelineModel, dict]:
-    from rinkline.plans.model import assert_metadata
-
-    metadata = json.loads(spark.read.schema("metadata string").parquet(f"{path}/metadata").first()[0])
-    assert_metadata(metadata)
-    return PipelineModel.load(f"{path}/model"), metadata

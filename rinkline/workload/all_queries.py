@@ -6,5 +6,6 @@ from rinkline.workload import (  # noqa: F401
     quality_queries,
     scalar_queries,
     season_queries,
+    store_queries,
 )
 from rinkline.workload.registry import QUERIES, SQL  # noqa: F401
