@@ -157,13 +157,16 @@ def touched(existing: DataFrame, incoming: DataFrame, partition: str) -> DataFra
     """Existing rows in the partitions that the incoming rows fall in, pruned at the scan.
 
     Their values (seasons, at most ``PUSHED_VALUES`` of them) become a filter on
-    the partition column; more than that are joined.
+    the partition column; more than that are joined. Rows without a value are
+    touched by incoming rows without one.
     """
     values = incoming.select(partition).distinct()
     found = [r[0] for r in values.limit(PUSHED_VALUES + 1).collect()]
     if len(found) > PUSHED_VALUES:
-        return existing.join(values, partition, "left_semi")
-    return existing.filter(F.col(partition).isin([v for v in found if v is not None]))
+        same = F.col(partition).eqNullSafe(F.col("_value"))
+        return existing.join(values.withColumnRenamed(partition, "_value"), same, "left_semi")
+    kept = F.col(partition).isin([v for v in found if v is not None])
+    return existing.filter(kept | F.col(partition).isNull() if None in found else kept)
 
 
 # --- run ledger -----------------------------------------------------------------

@@ -27,8 +27,8 @@ def named_quantiles(
 ) -> DataFrame:
     """One row per group with a column per name: the (column, p) quantile, as a double.
 
-    ``df`` must be a stored frame (a table or ``staged``): it is read twice. A
-    mergeable sketch brackets each wanted rank, one aggregate counts what lies
+    ``df`` must be a stored frame (a table or ``staged``): it is read twice, and the
+    small results of both passes are stored. A mergeable sketch brackets each wanted rank, one aggregate counts what lies
     beside the bracket and the few values inside it, and the answer is picked
     by exact rank. A group whose rank lies outside its bracket (the sketch's
     bound rules that out for the default margins) is done again with an open one.
@@ -60,7 +60,7 @@ def named_quantiles(
             picked = F.when(F.col("_v.n") * m >= 3, inner).otherwise(picked)
         return picked
 
-    sketches = tall(rows.groupBy(*keys).agg(*[sketched(name, p) for name, (_, p) in wanted.items()]))
+    sketches = tall(staged(rows.groupBy(*keys).agg(*[sketched(name, p) for name, (_, p) in wanted.items()]), "sketches"))
     brackets = sketches.select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_m").alias("_k_m"),
@@ -68,7 +68,7 @@ def named_quantiles(
         end(len(margins), 1).alias("_high"),
     )
     values = tall(rows).filter(F.col("_v").isNotNull())
-    found = _picked(values, brackets, keys)
+    found = staged(_picked(values, brackets, keys), "quantiles")
     missed = found.filter("_outside").select(
         *[F.col(k).alias(f"_k_{k}") for k in keys],
         F.col("_m").alias("_k_m"),

@@ -143,6 +143,23 @@ def fill_medians(lg):
     return group_quantiles(rows, ["_all"], _MEDIANS, 0.5).drop("_all")
 
 
+@query(f"""SELECT {', '.join(f'round(median({c}), 6) AS {c}' for c in M.NUMERIC_FEATURES)},
+    (SELECT position_group FROM over WHERE position_group IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, position_group LIMIT 1) AS position_group FROM over""", **FEATURE_CTES)
+def model_fills(lg):
+    """The fill of every model input: 37 medians and the most frequent position group."""
+    fills = M.fill_values(staged(X.above_replacement(dataset(lg)), "above"))
+    return lg.spark.createDataFrame([tuple(fills.values())], ", ".join(f"{c} {'string' if c == 'position_group' else 'double'}" for c in fills))
+
+
+@query("""SELECT player_id, season, round(coalesce(goals_per_60, (SELECT median(goals_per_60) FROM over)), 6) AS goals_per_60, (coalesce(position_group, usual) = 'defense')::INT AS is_defense,
+    (coalesce(position_group, usual) = 'forward')::INT AS is_forward FROM over, (SELECT position_group AS usual FROM over WHERE position_group IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1)""", **FEATURE_CTES)
+def model_indicators(lg):
+    """Filled inputs with an indicator for each position group."""
+    table = staged(X.above_replacement(dataset(lg)), "above")
+    rows = M.with_indicators(M.model_inputs(table, M.fill_values(table)), ["defense", "forward"])
+    return rows.select("player_id", "season", "goals_per_60", F.col("is_defense").cast("int").alias("is_defense"), F.col("is_forward").cast("int").alias("is_forward"))
+
+
 @query("""SELECT 'test' AS split, metric, round(CASE WHEN metric = 'r2' THEN was - now ELSE now - was END, 6) AS regression FROM (
       SELECT unnest(['mae', 'rmse', 'r2']) AS metric, unnest([b.mae, b.rmse, b.r2]) AS was, unnest([t.mae, t.rmse, t.r2]) AS now FROM gate_metrics t, gate_metrics b WHERE t.split = 'test' AND b.split = 'train')
     WHERE CASE WHEN metric = 'r2' THEN was - now > 0 ELSE now - was > 0 END

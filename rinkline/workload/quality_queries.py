@@ -233,14 +233,18 @@ def schedule_merge(lg):
 # --- feed payloads, written as JSON by Spark and read back ---------------------------------------
 
 
+#: However many orders a customer has, a page holds those of a range of so many order keys.
+_ORDERS = "o_orderkey div 20000"
+
+
 def stat_payloads(lg) -> DataFrame:
-    """Saved stat pages: one page per customer with its orders as player lines, callback-wrapped."""
+    """Saved stat pages: a customer's orders as player lines, parted by ranges of order keys, callback-wrapped."""
     line = F.struct(
         F.col("o_orderkey").alias("playerId"), F.concat(F.lit("Last, First "), F.col("o_orderkey")).alias("skaterFullName"),
         F.lit("L").alias("positionCode"), F.when(F.col("o_orderstatus") == "F", "AAA,BBB").otherwise("CCC").alias("teamAbbrevs"),
         F.year("o_orderdate").alias("gamesPlayed"), F.lit(3).alias("goals"), F.lit("4").alias("assists"), F.lit(7).alias("points"),
     )
-    pages = lg.raw("orders").groupBy(F.col("o_custkey").alias("page")).agg(F.collect_list(line).alias("data"), F.count(F.lit(1)).alias("total"))
+    pages = lg.raw("orders").groupBy(F.col("o_custkey").alias("page"), F.expr(_ORDERS).alias("part")).agg(F.collect_list(line).alias("data"), F.count(F.lit(1)).alias("total"))
     body = F.concat(F.lit(" feed.call("), F.to_json(F.struct("data", "total")), F.lit(");"))
     return pages.select("page", body.alias("body"))
 
@@ -257,7 +261,7 @@ def stat_feed_rows(lg):
     )
 
 
-@query("""SELECT o_custkey AS page, count(*) AS total, count(*) AS size, 0 AS no_id FROM orders GROUP BY 1""")
+@query("""SELECT o_custkey AS page, count(*) AS total, count(*) AS size, 0 AS no_id FROM orders GROUP BY o_custkey, o_orderkey // 20000""")
 def stat_feed_pages(lg):
     return feeds.stats_pages(stat_payloads(lg))
 
@@ -286,15 +290,15 @@ def roster_feed_players(lg):
 @query("""SELECT o_orderkey AS nhl_game_id, CAST(o_orderdate AS DATE)::VARCHAR AS game_date, 'AAA' AS away_team, 'BBB' AS home_team, 'Arena ' || o_orderpriority AS venue, o_orderstatus AS game_state, 2 AS away_score
     FROM orders WHERE o_orderstatus <> 'P'""")
 def schedule_feed_games(lg):
-    """Weeks per customer, every game on two pages; other game types are left out."""
+    """Weeks per customer and range of orders, every game on two pages; other game types are left out."""
     game = F.struct(
         F.col("o_orderkey").alias("id"), F.when(F.col("o_orderstatus") == "P", 3).otherwise(2).alias("gameType"),
         F.struct(F.lit("aaa").alias("abbrev"), F.col("page").alias("score")).alias("awayTeam"), F.struct(F.lit("BBB").alias("abbrev")).alias("homeTeam"),
         F.struct(F.concat(F.lit("Arena "), F.col("o_orderpriority")).alias("default")).alias("venue"), F.col("o_orderstatus").alias("gameState"),
     )
     twice = lg.raw("orders").withColumn("page", F.explode(F.array(F.lit(1), F.lit(2))))
-    days = twice.groupBy("page", "o_custkey", F.to_date("o_orderdate").cast("string").alias("date")).agg(F.collect_list(game).alias("games"))
-    pages = days.groupBy("page", "o_custkey").agg(F.collect_list(F.struct("date", "games")).alias("gameWeek"))
+    days = twice.groupBy("page", "o_custkey", F.expr(_ORDERS).alias("part"), F.to_date("o_orderdate").cast("string").alias("date")).agg(F.collect_list(game).alias("games"))
+    pages = days.groupBy("page", "o_custkey", "part").agg(F.collect_list(F.struct("date", "games")).alias("gameWeek"))
     payloads = pages.select("page", F.to_json(F.struct("gameWeek")).alias("body"))
     return feeds.schedule_games(payloads).select("nhl_game_id", "game_date", "away_team", "home_team", "venue", "game_state", "away_score")
 

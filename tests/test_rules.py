@@ -414,6 +414,23 @@ def test_touched_partitions_are_pruned_at_the_scan(spark, tmp_path):
     assert "PartitionFilters: [season" in plan and "IN (2003,2007)" in plan
 
 
+@pytest.mark.parametrize("most", [1000, 0])
+def test_rows_without_a_partition_value_are_touched_by_their_like(spark, monkeypatch, most):
+    monkeypatch.setattr(M, "PUSHED_VALUES", most)
+    stored = spark.createDataFrame([(1, 2003), (2, None), (3, 2004)], "id long, season int")
+    touched = lambda *v: sorted(r.id for r in M.touched(stored, spark.createDataFrame([(x,) for x in v], "season int"), "season").collect())
+    assert touched(2003, None) == [1, 2] and touched(2003) == [1] and touched(None) == [2] and touched(2009) == []
+
+
+def test_predictions_are_written_as_csv_or_parquet(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 2024, 1.5), (2, 2024, 0.0)], "player_id int, season int, prediction double")
+    for fmt in ("csv", "parquet"):
+        for _ in range(2):
+            files.write_predictions(rows, str(tmp_path / fmt), fmt)
+    assert sorted(map(tuple, spark.read.schema(rows.schema).option("header", True).csv(str(tmp_path / "csv")).collect())) == [(1, 2024, 1.5), (2, 2024, 0.0)]
+    assert spark.read.parquet(str(tmp_path / "parquet")).count() == 2
+
+
 def test_a_table_without_partitions_is_switched_whole(spark, tmp_path):
     path = str(tmp_path / "t")
     for rows in ([(1, "a")], [(1, "b"), (2, "c")]):
