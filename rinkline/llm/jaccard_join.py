@@ -6,7 +6,8 @@ Exact for every pair: no link between different sets is lost. The steps:
 2. Shingles are hashed into groups, and a set's counts by group are a point.
    Two similar sets differ in at most d shingles, so with m > d groups some
    group holds the same shingles in both: (size class, group, hash of
-   the group's shingles) routes both points to one place. Unrelated sets hardly
+   the group's shingles) routes both points to one place. m is chosen larger than
+   that, and a set leaves its shortest groups out. Unrelated sets hardly
    ever meet there, whatever common lines or passages they share.
 3. Every node is checked with the most complete set that it meets; what links
    forms components.
@@ -38,8 +39,8 @@ from rinkline.llm.words import mix, shingles_of, words_of
 GROUPS = ((0, 64), (250, 256), (2500, 1024))
 #: Pairs with one left side that one task checks, about.
 PAIRS_A_TASK = 1000
-#: Shingles of a block that is searched in one piece, about (eight bytes each).
-BLOCK_SHINGLES = 2_000_000
+#: Shingles of a block that is searched in one piece, about (eight bytes each); a set counts as so many at least, for its point.
+BLOCK_SHINGLES, LEAST_SHINGLES = 2_000_000, 200
 HOLDS, HOLDS_AND_ASKS, ASKS = 0, 1, 2
 _P, _Q, _R = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F), np.uint64(0x165667B19E3779F9)
 
@@ -57,34 +58,55 @@ def node_of(s: np.ndarray) -> int:
     return int(mix(total).view(np.int64)[0])
 
 
-@lru_cache(maxsize=256)
+#: Sizes of one class differ by so much at most (by den / num if that is more): the narrower, the longer the groups, and the more kinds of pairs.
+CLASS = 1.5
+#: Groups that are made beyond those that a set sends, as a share of them; a set leaves out its shortest ones.
+SPARE = 0.35
+
+
+@lru_cache(maxsize=64)
+def edges_of(num: int, den: int) -> np.ndarray:
+    """The least size of each class."""
+    wide, edges = max(CLASS, den / num), [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, int(edges[-1] * wide)))
+    return np.array(edges)
+
+
+@lru_cache(maxsize=1024)
 def plan_of(kind: int, num: int, den: int) -> tuple[int, int, int, np.ndarray] | None:
     """Lowest and highest size, groups that must agree, and group bounds for a kind of pairs; None if only equal sets link.
 
-    Kind 2c: both sizes in [2**c, 2**(c+1)); kind 2c+1: one below and one from 2**(c+1) on.
+    Kind 2c: both sizes in class c; kind 2c+1: one in class c and one in the next.
     """
-    edge = 1 << (kind // 2 + 1)
+    edges = edges_of(num, den)
+    edge = int(edges[kind // 2 + 1])
     if kind % 2:
         low, high = -(-num * edge // den), (edge - 1) * den // num
         most = edge - 1 + high
     else:
-        low, high, most = edge // 2, edge - 1, 2 * (edge - 1)
+        low, high, most = int(edges[kind // 2]), edge - 1, 2 * (edge - 1)
     differ = most * (den - num) // (den + num)
     if differ == 0 or low > high:
         return None
-    # A few groups more than must differ: then agreeing groups aren't all empty, but for rare sets.
-    spare = ceil(2 * (differ + 1) * exp(-low / (differ + 1))) + 2
+    # Enough groups beyond those that must differ that the ones left out hold all empty ones, but for rare sets.
+    spare = max(ceil(2 * (differ + 1) * exp(-low / (differ + 1))) + 2, ceil(SPARE * (differ + 1)))
     m = differ + 1 + spare
     bounds = np.array([-(-(j << 64) // m) for j in range(1, m)], dtype=np.uint64)
     return low, high, m - differ, bounds
 
 
 def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Places where the set meets every set that it can link with."""
+    """Places where the set meets every set that it can link with.
+
+    Of the groups that must agree, one less are left out: those with the fewest
+    shingles (then of smallest content), which unrelated sets share by chance. The
+    last of the agreeing groups in that order is left out by neither set.
+    """
     n = len(s)
     if n == 0:
         return np.zeros(0, np.uint64)
-    c = n.bit_length() - 1
+    c = int(np.searchsorted(edges_of(num, den), n, side="right")) - 1
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum(mix(s ^ _R), out=sums[1:])
     out = []
@@ -93,12 +115,9 @@ def signatures(s: np.ndarray, num: int, den: int) -> np.ndarray:
         if plan is None or not plan[0] <= n <= plan[1]:
             continue
         cut = np.concatenate(([0], np.searchsorted(s, plan[3]), [n]))
-        held = np.diff(cut)
-        # Agreeing groups may all be empty only if so many are.
-        use = np.ones(len(held), bool) if (held == 0).sum() >= plan[2] else held > 0
-        group = np.flatnonzero(use)
-        content = sums[cut[1:]][group] - sums[cut[:-1]][group]
-        out.append(mix(content * _P + group.astype(np.uint64) * _Q + np.array([kind], np.uint64) * _R + held[group].astype(np.uint64)))
+        held, content = np.diff(cut), sums[cut[1:]] - sums[cut[:-1]]
+        group = np.lexsort((content, held))[plan[2] - 1 :]
+        out.append(mix(content[group] * _P + group.astype(np.uint64) * _Q + np.array([kind], np.uint64) * _R + held[group].astype(np.uint64)))
     return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -251,7 +270,7 @@ def tree_links(met: DataFrame, labels: DataFrame, nodes: DataFrame, measured: Da
     counts = measured.select(F.col("doc_id").alias("rep"), "node", "counts").join(points.select("node", "rep"), ["node", "rep"], "left_semi").dropDuplicates(["node"])
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in _blocks(batches, lambda batch: ((None, np.frombuffer(c, dtype="<u4").astype(np.int64)) for c in batch.column(batch.num_columns - 1).to_pylist()), num, den):
+        for block in _blocks(batches, lambda batch: ((None, np.frombuffer(c, dtype="<u4")) for c in batch.column(batch.num_columns - 1).to_pylist()), num, den):
             if found := sorted(block.near()):
                 yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64())], names=["node"])
 
@@ -279,7 +298,7 @@ def _dealt(points: DataFrame, payload: DataFrame) -> DataFrame:
     guests = points.withColumn("band", F.col("band") - 1)
 
     def size(rows: DataFrame, name: str) -> DataFrame:
-        return rows.groupBy("cluster", "band").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).alias(name))
+        return rows.groupBy("cluster", "band").agg(F.ceil(F.sum(F.greatest("n", F.lit(LEAST_SHINGLES))) / BLOCK_SHINGLES).alias(name))
 
     blocks = size(points, "askers").join(size(points.unionByName(guests), "holders"), ["cluster", "band"])
 
