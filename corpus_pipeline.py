@@ -10,16 +10,20 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rinkline.llm import decontaminate, jaccard_join, language, mixing, token_files
-from rinkline.llm.common import SMALL_LIST, staged, table
+from rinkline.llm.common import staged, table
 
 #: SQL can't express the language model, the shingle hashing or the tokenizer: the stages are tested against brute force.
 ORACLE_SQL = None
 
 
-def without_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Documents whose id isn't in ``ids``; up to ``SMALL_LIST`` ids go to every task, more are joined by shuffle."""
-    ids = staged(ids.where("doc_id IS NOT NULL").select("doc_id").distinct(), "dropped")
-    return docs.join(F.broadcast(ids) if ids.count() <= SMALL_LIST else ids, "doc_id", "left_anti")
+def with_rows(docs: DataFrame) -> DataFrame:
+    """Documents with ``_row``, a number of its own for each row, stored: decisions go by it, since ids may be null or repeat."""
+    return staged(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+
+
+def as_documents(rows: DataFrame) -> DataFrame:
+    """The rows' numbers as ids, and their texts: what the operators are asked about."""
+    return rows.select(F.col("_row").alias("doc_id"), "text")
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,14 +42,25 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest id of every group of near copies (five words, 80 percent); texts without words stay."""
-    groups = jaccard_join.similar_groups(docs, k=5, num=80, den=100)
-    return without_ids(docs, groups.where("component_id <> doc_id"))
+    """One document of every group of near copies (five words, 80 percent), that of smallest id, no id last; texts without words stay.
+
+    Of rows that repeat a document whole one stays. An id may stand on several texts: each is judged by itself.
+    """
+    rows = with_rows(docs)
+    groups = jaccard_join.similar_groups(as_documents(rows), k=5, num=80, den=100)
+    others = staged(groups.where("component_id <> doc_id").select(F.col("component_id").alias("group"), F.col("doc_id").alias("_row")), "others")
+    members = others.unionByName(others.select("group", F.col("group").alias("_row")).distinct()).join(rows.select("_row", "doc_id"), "_row")
+    kept = members.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))["_row"].alias("_row"))
+    dropped = staged(members.select("_row").join(kept.select("_row"), "_row", "left_anti"), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
-    return without_ids(docs, decontaminate.contamination(docs, table(spark, sf_dir, "benchmark")))
+    """Documents that hold no benchmark item, judged row by row."""
+    rows = with_rows(docs)
+    found = decontaminate.contamination(as_documents(rows), table(spark, sf_dir, "benchmark"))
+    dropped = staged(found.select(F.col("doc_id").alias("_row")).distinct(), "dropped")
+    return rows.join(dropped, "_row", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
