@@ -56,3 +56,19 @@ def test_every_stage_stands_empty_and_null_rows(spark, stage):
     assert stage(spark, spark.createDataFrame([], schema), DATA).collect() == []
     rows = [(None, None, None, None, None), (1, "", None, None, None), (1, "words of text here now", None, "s", 1), (2, "long " * 30000, "en", "s", None)]
     stage(spark, spark.createDataFrame(rows, schema), DATA).collect()
+
+
+def test_rows_without_id_and_rows_that_share_one_are_judged_by_themselves(spark):
+    schema = spark.read.parquet(f"{DATA}/documents.parquet").schema
+    text = " ".join(f"word{i}" for i in range(60))
+    near, other = text.replace("word30", "changed"), " ".join(f"other{i}" for i in range(60))
+    item = max((r.text for r in spark.read.parquet(f"{DATA}/benchmark.parquet").collect()), key=len)
+    row = lambda i, t, source="s": (i, t, "en", source, 1)
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema).repartition(3)
+    rows_of = lambda df: sorted(map(tuple, df.collect()), key=str)
+    docs = frame(row(None, near), row(7, text), row(7, text), row(7, other), row(8, near), row(None, "a"), row(None, None), row(3, ""))
+    assert rows_of(P.one_of_each_group(spark, docs, DATA)) == sorted([row(7, text), row(7, other), row(None, "a"), row(None, None), row(3, "")], key=str)
+    docs = frame(row(None, near), row(None, near), row(None, text))
+    assert len(P.one_of_each_group(spark, docs, DATA).collect()) == 1
+    docs = frame(row(None, f"{other} {item} {other}"), row(9, item), row(9, other), row(None, other))
+    assert rows_of(P.without_benchmark(spark, docs, DATA)) == sorted([row(9, other), row(None, other)], key=str)
