@@ -35,10 +35,17 @@ SENTENCES: dict[str, str] = {
     "gpl_v3_only_tag": "spdx license identifier gpl 3 0 only",
     "gpl_v2_tag": "spdx license identifier gpl 2 0 or later",
     "lgpl_title": "gnu lesser general public license",
+    "lgpl_v21_title": "version 2 1 february 1999",
+    "lgpl_free": "this library is free software you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation",
+    "lgpl_v21_later": "either version 2 1 of the license or at your option any later version",
+    "lgpl_v3_tag": "spdx license identifier lgpl 3 0 or later",
+    "lgpl_v21_tag": "spdx license identifier lgpl 2 1 or later",
     "bsd_allowed": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
     "bsd_source": "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer",
     "bsd_binary": "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution",
+    "bsd_neither": "neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission",
     "bsd_tag": "spdx license identifier bsd 3 clause",
+    "bsd_2_tag": "spdx license identifier bsd 2 clause",
     "mpl_notice": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "mpl_tag": "spdx license identifier mpl 2 0",
     "isc_grant": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
@@ -58,6 +65,8 @@ WORDINGS: dict[str, str] = {
     SENTENCES["as_is"] + " including but not limited to the warranties of merchantability fitness for a particular purpose and non infringement": "as_is",
     SENTENCES["gpl_free"] + " " + SENTENCES["gpl_v3_later"]: "gpl_free gpl_v3_later",
     SENTENCES["gpl_free"] + " " + SENTENCES["gpl_v2_later"]: "gpl_free gpl_v2_later",
+    SENTENCES["lgpl_free"] + " " + SENTENCES["lgpl_v21_later"]: "lgpl_free lgpl_v21_later",
+    SENTENCES["lgpl_free"] + " " + SENTENCES["gpl_v3_later"]: "lgpl_free gpl_v3_later",
     SENTENCES["isc_grant"].replace("and or distribute", "and distribute"): "isc_grant",
 }
 
@@ -81,7 +90,15 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
     ("gpl-2.0", ("gpl_free", "gpl_v2_later")),
     ("gpl-2.0", ("gpl_v2_notice",)),
     ("gpl-2.0", ("gpl_v2_tag",)),
+    ("lgpl-3.0", ("lgpl_title", "gpl_v3_title")),
+    ("lgpl-3.0", ("lgpl_free", "gpl_v3_later")),
+    ("lgpl-3.0", ("lgpl_v3_tag",)),
+    ("lgpl-2.1", ("lgpl_title", "lgpl_v21_title")),
+    ("lgpl-2.1", ("lgpl_free", "lgpl_v21_later")),
+    ("lgpl-2.1", ("lgpl_v21_tag",)),
     ("bsd-3-clause", ("bsd_tag",)),
+    ("bsd-3-clause", ("bsd_allowed", "bsd_source", "bsd_binary", "bsd_neither")),
+    ("bsd-2-clause", ("bsd_2_tag",)),
     ("bsd", ("bsd_allowed", "bsd_source", "bsd_binary")),
     ("mpl-2.0", ("mpl_notice",)),
     ("mpl-2.0", ("mpl_tag",)),
@@ -94,8 +111,6 @@ RULES: list[tuple[str, tuple[str, ...]]] = [
 ]
 #: A sentence ends at a line break, or at a full stop, question or exclamation mark, colon or semicolon before a space or tab.
 BREAK = r"[\n\r]|[.!?:;]+[ \t]+"
-#: Longest sentence of the table, with room for marks and spaces that normalising takes away.
-LONGEST = 4 * max(map(len, SENTENCES.values()))
 
 
 def normalised(sentence: Column) -> Column:
@@ -113,10 +128,10 @@ def sentence_ids(text: Column, sentences: dict[str, str] | None = None) -> Colum
     known = {words: name for name, words in (SENTENCES if sentences is None else sentences).items()}
     if sentences is None:
         known |= WORDINGS
-    longest = 4 * max(map(len, known))
-    # Normalised parts with a bar around each; what is empty or too long for a known sentence is a second bar, over which none goes.
+    longest = max(map(len, known))
+    # Normalised parts with a bar around each; what is empty, or longer than every known sentence when normalised, is a second bar, over which none goes.
     parts = F.split(F.replace(text, F.lit("\r\n"), F.lit("\n")), BREAK)
-    line = F.concat(F.lit("|"), F.array_join(F.transform(parts, lambda s: F.when(F.length(s) <= longest, normalised(s)).otherwise("")), "|"), F.lit("|"))
+    line = F.concat(F.lit("|"), F.array_join(F.transform(F.transform(parts, normalised), lambda s: F.when(F.length(s) <= longest, s).otherwise("")), "|"), F.lit("|"))
     by_length = sorted(known, key=lambda words: (-len(words), words))
     pattern = "|".join([*by_length, *(words.replace(" ", "[ |]") for words in by_length)])
     found = F.regexp_extract_all(line, F.lit(f"[|]({pattern})(?=[|])"), F.lit(1))

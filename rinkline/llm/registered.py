@@ -104,8 +104,7 @@ def _licence_sql() -> str:
     return f"""WITH known(words, name) AS (VALUES {known}), rules(licence, pattern) AS (VALUES {rules}),
     parts AS (SELECT row_number() OVER () AS r, doc_id, string_split_regex(coalesce(text, ''), '{licences.BREAK}') AS p FROM documents),
     cut AS (SELECT r, doc_id, unnest(p) AS s, generate_subscripts(p, 1) AS i FROM parts),
-    named AS (SELECT r, i, name FROM cut JOIN known ON words = trim(regexp_replace(translate(s, '{upper}', '{lower}'), '[^a-z0-9]+', ' ', 'g'))
-              WHERE length(s) BETWEEN 1 AND {licences.LONGEST}),
+    named AS (SELECT r, i, name FROM cut JOIN known ON words = trim(regexp_replace(translate(s, '{upper}', '{lower}'), '[^a-z0-9]+', ' ', 'g')) WHERE length(s) > 0),
     lines AS (SELECT r, string_agg(name, ' ' ORDER BY i) AS ids FROM named GROUP BY r),
     spread AS (SELECT r, ids, ' ' || replace(ids, ' ', '  ') || ' ' AS line FROM lines),
     hits AS (SELECT r, string_agg(DISTINCT licence, ',' ORDER BY licence) AS licences FROM spread, rules WHERE regexp_matches(line, replace(pattern, ' .* ', ' .* ')) GROUP BY r)

@@ -103,3 +103,26 @@ def test_full_texts_as_published_are_recognised(spark):
 def test_no_sentence_over_a_blank_line_or_from_the_middle_of_a_part(spark):
     got = found(spark, ["released under\n\nthe MIT License", "never released under\nthe MIT License", "released under\nthe MIT License", "released under\nthe MIT License here"])
     assert [got[i][0] for i in range(4)] == [[], [], ["mit_released"], []]
+
+
+def test_marks_do_not_make_a_sentence_too_long(spark):
+    got = found(spark, ["MIT License " + "=" * 2000, "Released under the MIT License" + " *" * 5000, "x " * 3000 + "\nMIT License", "MIT License " + "y" * 2000])
+    assert [got[i][0] for i in range(4)] == [["mit_title"], ["mit_released"], ["mit_title"], []]
+
+
+LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+NEITHER = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+
+
+def test_lesser_licences_and_clauses_are_told_apart(spark):
+    texts = [
+        (["GNU LESSER GENERAL PUBLIC LICENSE", "Version 3, 29 June 2007"], ["lgpl-3.0"]),
+        (["GNU Lesser General Public License", "Version 2.1, February 1999"], ["lgpl-2.1"]),
+        ([LGPL.format("2.1")], ["lgpl-2.1"]),
+        ([LGPL.format("3")], ["lgpl-3.0"]),
+        ([*FULL_BSD[:-1], NEITHER], ["bsd", "bsd-3-clause"]),
+        (FULL_BSD[:-1], ["bsd"]),
+    ]
+    cases = [(wrapped(p, *form), want) for p, want in texts for form in ((78, "", "\n"), (60, "# ", "\r\n"), (3000, "", "\n"))]
+    got = found(spark, [t for t, _ in cases])
+    assert [got[i][1] for i in range(len(cases))] == [want for _, want in cases]
