@@ -21,12 +21,23 @@ def season_label(year: Column) -> Column:
     )
 
 
+_SEASON_LABEL = r"^([0-9]{4})\s*-\s*([0-9]{2}|[0-9]{4})$"
+
+
+def _label_text(value: Column) -> Column:
+    return F.translate(clean_text(value), "–—", "--")
+
+
+def looks_like_season(value: Column) -> Column:
+    """Whether text has the form of a season label, consistent or not."""
+    return _label_text(value).rlike(_SEASON_LABEL)
+
+
 def parse_season_label(value: Column) -> Column:
     """'2023-24' or '2023–2024' to 2023; null unless the end year is the next one."""
-    text = F.translate(clean_text(value), "–—", "--")
-    pattern = r"^([0-9]{4})\s*-\s*([0-9]{2}|[0-9]{4})$"
-    start = F.regexp_extract(text, pattern, 1).try_cast("int")
-    end = F.regexp_extract(text, pattern, 2)
+    text = _label_text(value)
+    start = F.regexp_extract(text, _SEASON_LABEL, 1).try_cast("int")
+    end = F.regexp_extract(text, _SEASON_LABEL, 2)
     following = (start + 1).cast("string")
     consistent = F.when(F.length(end) == 4, end == following).otherwise(
         end == F.right(following, F.lit(2))
