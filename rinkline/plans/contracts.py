@@ -24,6 +24,7 @@ from rinkline.operators.quality import (
     check_ordered,
 )
 from rinkline.plans.stats import PLAYER_SEASON, covered_seasons, stat_seasons, uncovered_seasons
+from rinkline.session import staged
 
 FIRST_SEASON, LAST_SEASON = 2008, 2025
 LOOK_BACK = 10
@@ -455,14 +456,16 @@ def scoped_seasons(
     ``is_target`` marks the rows that may be written; contracts without one
     are left out.
     """
-    years = known.select(F.col("start_year").alias("season_start_year"), "salary_cap_cents")
-    wanted = targets.select("player_id", F.explode("missing_seasons").alias("season_start_year")).distinct()
+    # the season table is a row per season; rows meet it and their player's seasons without being dealt by season
+    years = F.broadcast(known.select(F.col("start_year").alias("season_start_year"), "salary_cap_cents"))
+    # bounded list: a player's seasons
+    wanted = targets.select("player_id", F.explode("missing_seasons").alias("_y")).groupBy("player_id").agg(F.collect_set("_y").alias("_wanted"))
     kept = (
         seasons.filter(F.col("season_start_year").between(first - LOOK_BACK, last))
         .join(years, "season_start_year")
-        .join(wanted.withColumn("_t", F.lit(True)), PLAYER_SEASON, "left")
-        .withColumn("is_target", F.coalesce("_t", F.lit(False)))
-        .drop("_t")
+        .join(wanted, "player_id", "left")
+        .withColumn("is_target", F.coalesce(F.array_contains("_wanted", F.col("season_start_year")), F.lit(False)))
+        .drop("_wanted")
     )
     contract = Window.partitionBy("player_id", "contract_no")
     return kept.withColumn("_any", F.max("is_target").over(contract)).filter("_any").drop("_any")
@@ -541,7 +544,9 @@ SEASON_FILL = {
 
 def decide_history(seasons: DataFrame, contracts: DataFrame, contract_seasons: DataFrame) -> DataFrame:
     """Parsed contracts with the stored one they match (null = new) and why they conflict (null = they don't)."""
-    matched = match_contracts(incoming_contracts(seasons), contracts)
+    # stored, so that neither is made again by the conflicts and each one's shuffles go before the next one's come
+    incoming = staged(incoming_contracts(seasons), "incoming")
+    matched = staged(match_contracts(incoming, contracts), "matched")
     clash = season_conflicts(seasons, matched, contract_seasons).withColumn("_clash", F.lit(True))
     return matched.join(clash, ["player_id", "contract_no"], "left").withColumn(
         "conflict", F.coalesce("conflict", F.when(F.col("_clash"), "cap hit"))
@@ -556,7 +561,7 @@ def history_rows(
     ``seasons`` are scoped rows with resolved team ids; a contract in conflict is
     skipped whole. New contracts get ids from ``next_id`` on, in source-id order.
     """
-    decided = decide_history(seasons, contracts, contract_seasons)
+    decided = staged(decide_history(seasons, contracts, contract_seasons), "decided")
     accepted = decided.filter("conflict is null")
     fresh = number_rows(accepted.filter("contract_id is null").drop("contract_id"), "contract_id", next_id, ["source_id", "external_id"])
     known = accepted.filter("contract_id is not null").unionByName(fresh)
@@ -596,8 +601,6 @@ def number_rows(df: DataFrame, column: str, start: Column | int, order: Sequence
     partition then adds the number of rows before it, taken from per-part
     counts.
     """
-    from rinkline.session import staged
-
     part = F.spark_partition_id()
     laid = df.repartitionByRange(*order).sortWithinPartitions(*order)
     laid = staged(laid.select("*", part.alias("_part"), F.monotonically_increasing_id().alias("_at")), "numbered")

@@ -80,3 +80,21 @@ def test_facts_are_those_of_the_lines(spark, tmp_path):
         assert (r.n, r.lines, r.qty, r.disc) == (len(lines), count(lambda x: x.l_linenumber), count(lambda x: int(x.l_quantity)), count(lambda x: round(x.l_discount * 100)))
         assert (r.a, r.r, r.nn, r.open) == (*(count(lambda x, f=f: x.l_returnflag == f) for f in "ARN"), count(lambda x: x.l_linestatus == "O"))
         assert (r.first_ship, r.last_ship) == (min(x.l_shipdate for x in lines), max(x.l_shipdate for x in lines))
+
+
+def test_scoped_seasons_are_not_dealt_by_season(spark, large):
+    seasons = spark.createDataFrame([(1, "a", y, 5) for y in range(1995, 2001)] + [(2, "b", 1999, 6), (None, "c", 1999, 7)], "player_id long, contract_no string, season_start_year int, cap_hit_cents long")
+    known = spark.createDataFrame([(y, 100) for y in range(1990, 2000)], "start_year int, salary_cap_cents long")
+    targets = spark.createDataFrame([(1, [1996, 1998]), (1, [1996]), (3, [1999]), (None, [1999])], "player_id long, missing_seasons array<int>")
+    scoped = C.scoped_seasons(seasons, known, targets, 2000, 2002)
+    assert not [k for k in shuffled(scoped) if "season" in k]
+    assert sorted((r.season_start_year, r.is_target) for r in scoped.collect()) == [(1995, False), (1996, True), (1997, False), (1998, True), (1999, False)]
+
+
+def test_decisions_are_made_once(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(C, "match_contracts", lambda *a, f=C.match_contracts: made.append(1) or f(*a))
+    names = []
+    monkeypatch.setattr(C, "staged", lambda df, name, f=C.staged: names.append(name) or f(df, name))
+    contract_queries.reconciled_contracts(league(spark, tmp_path)).collect()
+    assert made == [1] and {"incoming", "matched", "decided"} <= set(names)
