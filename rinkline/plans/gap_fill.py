@@ -5,7 +5,7 @@ versioned tables (see ``operators.versions``). A run
 
 1. lists players with uncovered seasons and leaves out those whose last outcome
    is settled for the same seasons;
-2. reads their pages in one pass and keeps those that belong to them;
+2. finds the pages that belong to them and reads those in one pass;
 3. reconciles the parsed seasons with the stored contracts;
 4. merges contracts, then contract seasons (only the seasons it fills), then
    writes the outcomes.
@@ -95,10 +95,11 @@ def plan(
     tables = {**tables, **stored(spark, path)}
     people = staged(open_candidates(tables, first, last), "candidates")
     theirs = pages.join(people.where("nhl_id is not null").select("player_id"), "player_id", "left_semi")
-    read = staged(D.read_pages(theirs).join(theirs.select("key", "player_id"), "key"), "read-pages")
     wanted = theirs.select("key", "player_id").join(people, "player_id")
-    own = D.matches_candidate(theirs, wanted).where("matches").select("key")
-    read = read.join(own, "key", "left_semi")
+    own = staged(D.matches_candidate(theirs, wanted).where("matches").select("key"), "own-pages")
+    # contracts are read of pages only that belong to their candidate; nothing is asked of the others
+    theirs = theirs.join(own, "key", "left_semi")
+    read = staged(D.read_pages(theirs).join(theirs.select("key", "player_id"), "key"), "read-pages")
     parsed = D.contract_seasons(read).join(read.select("key", "player_id"), "key").withColumn("contract_no", F.concat_ws("/", "key", "contract_no"))
     parsed = parsed.join(people.select("player_id", "nhl_id"), "player_id").withColumn("clauses", F.lit("{}")).withColumn("source_payload", F.lit("{}"))
     low, high = _span(people, first, last)

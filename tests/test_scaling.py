@@ -98,3 +98,15 @@ def test_decisions_are_made_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(C, "staged", lambda df, name, f=C.staged: names.append(name) or f(df, name))
     contract_queries.reconciled_contracts(league(spark, tmp_path)).collect()
     assert made == [1] and {"incoming", "matched", "decided"} <= set(names)
+
+
+def test_contracts_are_read_of_own_pages_only(spark, tmp_path, monkeypatch):
+    from rinkline.workload import store_queries
+
+    lg, read = league(spark, tmp_path), []
+    monkeypatch.setattr(G.D, "read_pages", lambda pages, *a, f=G.D.read_pages: read.append(pages.select("key").collect()) or f(pages, *a))
+    seen = {r.player_id: r.status for r in store_queries.gap_fill_dry_run(lg).collect()}
+    # standard contracts of customers who aren't in debt carry the customer's id
+    own = {r.o_orderkey for r in lg.raw("orders").join(lg.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderstatus = 'F' AND c_acctbal >= 0").collect()}
+    assert len(read) == 1 and {r.key for r in read[0]} <= own
+    assert "no_nhl_id" in seen.values() and "filled" in seen.values()
