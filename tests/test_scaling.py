@@ -110,3 +110,10 @@ def test_contracts_are_read_of_own_pages_only(spark, tmp_path, monkeypatch):
     own = {r.o_orderkey for r in lg.raw("orders").join(lg.raw("customer"), F.col("o_custkey") == F.col("c_custkey")).where("o_orderstatus = 'F' AND c_acctbal >= 0").collect()}
     assert len(read) == 1 and {r.key for r in read[0]} <= own
     assert "no_nhl_id" in seen.values() and "filled" in seen.values()
+
+
+def test_targets_are_made_once_for_training_and_scoring(spark, tmp_path, monkeypatch):
+    made = []
+    monkeypatch.setattr(model_queries.M, "training_data", lambda *a, f=model_queries.M.training_data: made.append(1) or f(*a))
+    model_queries.trained_model_metrics(league(spark, tmp_path)).collect()
+    assert made == [1]
